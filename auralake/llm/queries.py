@@ -74,7 +74,7 @@ marked as (
   select span_id, regexp_replace(regexp_replace(body, '([.!?।॥])([{_B}]|$)', '\\1' || chr(1) || '\\2', 'g'), '([。！？]|[\\n\\r\\x{{000b}}\\f\\x{{0085}}\\x{{2028}}\\x{{2029}}])', '\\1' || chr(1), 'g') as m from long),
 sents as (select span_id, unnest(string_split(m, chr(1))) as s from marked),
 trimmed as (select span_id, regexp_replace(s, '^[{_B}]+|[{_B}]+$', '', 'g') as s from sents),
-runs as (select span_id, s, length(s) as n, list_max(list_transform(regexp_split_to_array(s, '[{_B}]+'), x -> length(x))) as run from trimmed)
+runs as (select span_id, s, length(s) as n, list_max(list_transform(regexp_split_to_array(s, '[{_B}]+'), lambda x: length(x))) as run from trimmed)
 select span_id, case when max(n) <= 600 then 'sentence' when max(case when n > 600 then run else 0 end) <= 600 then 'word' else 'none' end as cut_at
 from runs group by span_id""",
 }
