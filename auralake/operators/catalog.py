@@ -68,7 +68,7 @@ def window_coverage(windows: DataFrame, episodes: DataFrame, transcripts: DataFr
 
 def coverage_by_study(cov: DataFrame) -> DataFrame:
     """Per study windows, those filled and those with a transcript, mean episodes."""
-    return cov.groupBy("study").agg(F.count(F.lit(1)).alias("windows"), F.count_if("n_episodes > 0").alias("filled"), F.count_if("n_done > 0").alias("transcribed"), F.round(F.avg("n_episodes"), 6).alias("mean_episodes"))
+    return cov.groupBy("study").agg(F.count(F.lit(1)).alias("windows"), F.count_if(F.col("n_episodes") > 0).alias("filled"), F.count_if(F.col("n_done") > 0).alias("transcribed"), F.round(F.avg("n_episodes"), 6).alias("mean_episodes"))
 
 
 def shared_members(members: DataFrame, key: str, group: str) -> DataFrame:

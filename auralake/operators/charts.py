@@ -65,7 +65,7 @@ def coverage(daily: DataFrame) -> DataFrame:
     """A2: per series days, full days, median depth, months spanned, months with a day and their share."""
     month = F.trunc("day", "month")
     agg = daily.groupBy("series").agg(
-        F.count(F.lit(1)).alias("days"), F.count_if("is_full").alias("full_days"), F.median("depth").alias("median_depth"),
+        F.count(F.lit(1)).alias("days"), F.count_if(F.col("is_full")).alias("full_days"), F.median("depth").alias("median_depth"),
         F.countDistinct(month).alias("months"), (F.months_between(F.max(month), F.min(month)) + 1).cast("int").alias("span_months"),
     )
     return agg.withColumn("fill_pct", F.round(100 * F.col("months") / F.col("span_months"), 1))

@@ -84,8 +84,10 @@ def islands(df: DataFrame, keys: Sequence[str], start: str, end: str, gap: int =
     """Label each row with the number of its island (gaps-and-islands), keeping all rows and columns.
 
     Intervals whose start is at most ``gap`` after the running end join. Rows are
-    ordered by (start, end); repeated rows keep their number.
+    ordered by (start, end); repeated rows keep their number. A column named
+    ``island`` is replaced.
     """
+    df = df.drop("island", "__m", "__new")
     cut, chunked = assign_chunks(df, keys, start, hot_rows)
     seen = running(cut, keys, [start, end], {"__m": ("max", F.col(end), False)}, chunked)
     marked = seen.withColumn("__new", F.when(F.col("__m").isNull() | (F.col(start) > F.col("__m") + gap), 1).otherwise(0))

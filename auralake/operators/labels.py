@@ -31,9 +31,12 @@ def merge_detections(rows: DataFrame) -> DataFrame:
     """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        groups: list[list] = []  # [start, end, labels, n]
+        groups: list[list] = []  # [start, end, labels, n], those that later spans can still reach
+        done: list[list] = []
         for r in pdf.sort_values(["span_start", "span_end", "window_index", "position"]).itertuples():
             mine = set(r.labels)
+            done += [g for g in groups if g[1] + 1 < r.span_start]
+            groups = [g for g in groups if g[1] + 1 >= r.span_start]
             hit = [g for g in groups if r.span_start <= g[1] + 1 and mine & g[2]]
             merged = [r.span_start, r.span_end, mine, 1]
             for g in hit:
@@ -44,7 +47,7 @@ def merge_detections(rows: DataFrame) -> DataFrame:
                 groups = [g for g in groups if not any(g is h for h in hit[1:])]
             else:
                 groups.append(merged)
-        out = [(pdf["episode_id"].iloc[0], pdf["axis"].iloc[0], g[0], g[1], sorted(g[2]), g[3]) for g in sorted(groups, key=lambda g: (g[0], g[1]))]
+        out = [(pdf["episode_id"].iloc[0], pdf["axis"].iloc[0], g[0], g[1], sorted(g[2]), g[3]) for g in sorted(done + groups, key=lambda g: (g[0], g[1]))]
         return pd.DataFrame(out, columns=["episode_id", "axis", "span_start", "span_end", "labels", "n_detections"])
 
     return rows.groupBy("episode_id", "axis").applyInPandas(run, "episode_id long, axis string, span_start long, span_end long, labels array<string>, n_detections int")
@@ -74,8 +77,11 @@ def merge_claims(rows: DataFrame, least: float = 0.55) -> DataFrame:
     """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        groups: list[dict] = []
+        groups: list[dict] = []  # those that later spans can still overlap
+        done: list[dict] = []
         for r in pdf.sort_values(["span_start", "span_end", "window_index", "position"]).to_dict("records"):
+            done += [g for g in groups if g["end"] < r["span_start"]]
+            groups = [g for g in groups if g["end"] >= r["span_start"]]
             hit = [g for g in groups if r["span_start"] <= g["end"] and g["start"] <= r["span_end"] and (_quote(r["quote"]) == _quote(g["best"]["quote"]) or claims_alike(r["claim"], g["best"]["claim"]) >= least)]
             if not hit:
                 groups.append({"start": r["span_start"], "end": r["span_end"], "best": r, "n": 1})
@@ -90,7 +96,7 @@ def merge_claims(rows: DataFrame, least: float = 0.55) -> DataFrame:
                     g["best"] = o["best"]
                 groups = [x for x in groups if x is not o]
         key = (pdf["episode_id"].iloc[0], pdf["role"].iloc[0])
-        out = [(*key, g["start"], g["end"], g["best"]["claim"], g["best"]["confidence"], g["n"]) for g in sorted(groups, key=lambda g: (g["start"], g["end"]))]
+        out = [(*key, g["start"], g["end"], g["best"]["claim"], g["best"]["confidence"], g["n"]) for g in sorted(done + groups, key=lambda g: (g["start"], g["end"]))]
         return pd.DataFrame(out, columns=["episode_id", "role", "span_start", "span_end", "claim", "confidence", "n_candidates"])
 
     return rows.groupBy("episode_id", "role").applyInPandas(run, "episode_id long, role string, span_start long, span_end long, claim string, confidence double, n_candidates int")
@@ -119,7 +125,7 @@ def time_regressions(segments: DataFrame) -> DataFrame:
     """Per episode segments, untimed ones, and starts below the last known start before them."""
     w = W.partitionBy("episode_id").orderBy("seg_index").rowsBetween(W.unboundedPreceding, -1)
     s = segments.withColumn("last", F.last("start_s", ignorenulls=True).over(w))
-    return s.groupBy("episode_id").agg(F.count(F.lit(1)).alias("n_segments"), F.count_if("start_s is null").alias("untimed"), F.count_if("start_s < last").alias("regressions"))
+    return s.groupBy("episode_id").agg(F.count(F.lit(1)).alias("n_segments"), F.count_if(F.col("start_s").isNull()).alias("untimed"), F.count_if(F.col("start_s") < F.col("last")).alias("regressions"))
 
 
 def first_in_windows(units_in_windows: DataFrame) -> DataFrame:

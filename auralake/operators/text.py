@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from auralake.operators.scan import CHUNK, HOT_ROWS, assign_chunks, running
 
@@ -268,7 +269,7 @@ def edit_rate(ref: list[str], hyp: list[str]) -> float | None:
     return row[-1] / len(ref)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def word_error_rate(a: pd.Series, b: pd.Series) -> pd.Series:
     """F14 (Arrow): word error rate of two texts; an empty reference gives null."""
     norm = lambda s: re.findall(r"[a-z0-9']+", s.lower()) if isinstance(s, str) else []

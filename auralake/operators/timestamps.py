@@ -60,7 +60,7 @@ def parse_instants(df: DataFrame, raw: str = "raw", zone: str = "zone", out: str
     expression that is used more than once in a projection of its own.
     """
     ids = _zone_ids(df.sparkSession)
-    keep = df.columns
+    keep = [x for x in df.columns if x != out]  # a column of that name is replaced
     s = F.regexp_replace(F.col(raw), r"^[\s\p{Z}\p{Cc}\ufeff]+|[\s\p{Z}\p{Cc}\ufeff]+$", "")
     step = df.withColumn("__t", F.regexp_replace(s, r"\p{Z}", " "))
     fields = F.lit(None).cast("string")
@@ -146,16 +146,17 @@ def join_instants(rows: DataFrame, dictionary: DataFrame) -> DataFrame:
     Hot entries (at most 1/HOT_SHARE) are broadcast; their rows never meet in
     one task. The other rows are joined by a shuffle.
     """
+    rows = rows.drop("utc_second", "__hot")  # columns of these names are replaced
     total = dictionary.agg(F.sum("n_rows")).first()[0] or 0
     least = max(1000, int(total * HOT_SHARE))
     same = (F.col("r.raw") == F.col("d.raw")) & F.col("r.zone").eqNullSafe(F.col("d.zone"))
     hot = dictionary.groupBy("raw", "zone").agg(F.sum("n_rows").alias("n_rows"), F.max("utc_second").alias("utc_second")).filter(F.col("n_rows") > least)
     hot = F.broadcast(hot.select("raw", "zone", "utc_second", F.lit(True).alias("__hot")))
-    first = rows.alias("r").join(hot.alias("d"), same, "left").select("r.*", "utc_second", "__hot")
+    first = rows.alias("r").join(hot.alias("d"), same, "left").select("r.*", "d.utc_second", "d.__hot")
     is_hot = F.col("__hot").isNotNull() | F.col("raw").isNull()
     cold = first.filter(~is_hot).drop("utc_second", "__hot")
     entries = dictionary.select("raw", "zone", "utc_second")
-    found = cold.alias("r").join(entries.alias("d"), same, "left").select("r.*", "utc_second")
+    found = cold.alias("r").join(entries.alias("d"), same, "left").select("r.*", "d.utc_second")
     return first.filter(is_hot).drop("__hot").unionByName(found)
 
 

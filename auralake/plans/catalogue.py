@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from auralake.plans import problems
+from auralake.plans import problems, reference
 
-QUERIES = dict(problems.QUERIES)
-ORACLE = dict(problems.ORACLE)
+QUERIES = dict(reference.QUERIES) | dict(problems.QUERIES)
+ORACLE = dict(reference.ORACLE) | dict(problems.ORACLE)

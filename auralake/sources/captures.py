@@ -47,7 +47,7 @@ def parse_ranked_html(df: DataFrame, keys: list[str], body: str, row: str = r"(?
     x = df.select(*keys, F.posexplode(rows).alias("pos", "r"))
     rank = F.regexp_extract("r", r"(?s)<td[^>]*>\s*(?:<[^>]+>\s*)*(\d{1,4})\b", 1).try_cast("int")
     link = F.regexp_extract("r", r"""href=["']([^"']+)["']""", 1)
-    name = F.trim(F.regexp_replace(F.regexp_extract("r", r"(?s)<a\b[^>]*>(.*?)</a>", 1), r"<[^>]+>|\s+", " "))
+    name = F.trim(F.regexp_replace(F.regexp_extract("r", r"(?s)<a\b[^>]*>(.*?)</a>", 1), r"(?:<[^>]+>|\s)+", " "))
     t = x.select(*keys, "pos", rank.alias("rank"), name.alias("name"), F.nullif(link, F.lit("")).alias("entity_url")).filter("rank is not null and name <> ''")
     return t.groupBy(*keys, "rank").agg(F.min_by(F.struct("name", "entity_url"), "pos").alias("v")).select(*keys, "rank", "v.*")
 

@@ -19,13 +19,13 @@ def read_jsonl(spark: SparkSession, path: str, schema: T.StructType | str) -> Da
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
 
 
-def write_jsonl(df: DataFrame, path: str) -> tuple[int, str]:
-    """Canonical rows (columns in name order, nulls kept) as zstd JSON lines; (rows, fingerprint).
+def write_jsonl(df: DataFrame, path: str, codec: str = "gzip") -> tuple[int, str]:
+    """Canonical rows (columns in name order, nulls kept) as compressed JSON lines; (rows, fingerprint).
 
     The fingerprint sums row hashes, so it doesn't depend on the order of rows.
     """
     rows = df.select(*sorted(df.columns))
-    rows.write.mode("errorifexists").option("compression", "zstd").option("ignoreNullFields", "false").json(path)
+    rows.write.mode("errorifexists").option("compression", codec).option("ignoreNullFields", "false").json(path)
     n, h = rows.agg(F.count(F.lit(1)), F.sum(F.xxhash64(F.to_json(F.struct("*"), {"ignoreNullFields": "false"})).cast("decimal(38,0)"))).first()
     return n, str(h or 0)
 
