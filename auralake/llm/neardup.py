@@ -5,9 +5,10 @@ episode and part numbers taken off). The words are a sparse binary vector whose
 dimensions are laid on a ring of 16 segments. Pigeonring: records whose vectors
 differ in at most TAU places share a start segment from which every chain of
 consecutive segments stays within its proportional budget. Candidates share a
-segment's content within a window of publication; the chain filter and then the
-full Hamming check are bit operations of the JVM; the words of what is left are
-compared exactly. Exact copies are one class throughout and only expanded at the
+dimension that is set within a window of publication (at this budget an equal
+empty segment would select nothing); the chain filter and then the full Hamming
+check are bit operations of the JVM; the words of what is left are compared
+exactly. Exact copies are one class throughout and only expanded at the
 end, and only where pairs are asked for.
 """
 
@@ -148,17 +149,15 @@ _READ = "words array<string>, number int, part int, cut boolean, bits long, segs
 
 
 def _vector(words: list[str]) -> tuple[int, list[int]]:
-    """The ring as 64 bits (16 segments of 4) and the contents of its segments that aren't empty."""
+    """The ring as 64 bits (16 segments of 4) and the dimensions that are set (a hash per word)."""
     import xxhash
 
-    bits, content = 0, {}
-    for w in sorted(set(words)):
-        h = xxhash.xxh64_intdigest(w)
-        seg = h % SEGMENTS
-        bits ^= 1 << (seg * WIDTH + (h >> 8) % WIDTH)
-        content.setdefault(seg, []).append(w)
+    hashes = sorted({xxhash.xxh64_intdigest(w) for w in words})
+    bits = 0
+    for h in hashes:
+        bits ^= 1 << (h % SEGMENTS * WIDTH + (h >> 8) % WIDTH)
     sign = lambda v: v - (1 << 64) if v >> 63 else v
-    return sign(bits), [sign(xxhash.xxh64_intdigest(f"{k} " + " ".join(ws))) for k, ws in sorted(content.items())]
+    return sign(bits), [sign(h) for h in hashes]
 
 
 def _read_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -22,6 +22,8 @@ VOCABULARY = "byte_bpe_50k"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Words whose ids are remembered per worker; longer words are not kept.
 WORDS, WORD_BYTES = 400_000, 48
+#: Documents whose ids are handed on at once.
+CHUNK = 1000
 
 
 class Encoder:
@@ -140,8 +142,9 @@ def encode_documents(documents: DataFrame, folder: str = DEFAULT_FOLDER, name: s
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         enc = encoder(shared.value)
         for pdf in batches:
-            ids = [enc.encode(t) if isinstance(t, str) else [] for t in pdf["text"].tolist()]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "ids": ids})
+            for at in range(0, len(pdf), CHUNK):  # so that few lists of ids are held at once
+                part = pdf.iloc[at : at + CHUNK]
+                yield pd.DataFrame({"doc_id": part["doc_id"], "ids": [enc.encode(t) if isinstance(t, str) else [] for t in part["text"].tolist()]})
 
     return documents.selectExpr("cast(doc_id as long) doc_id", "text").mapInPandas(run, "doc_id long, ids array<int>")
 

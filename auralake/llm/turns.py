@@ -57,6 +57,7 @@ _LABEL = tuple(
         rf"(?P<at>(?:(?:>>+|[-–—])[ ]*)?\*\*\[?){_NAME}\]?{_PAR}:$",
         rf"(?P<at>(?:(?:>>+|[-–—])[ ]*)?\[){_NAME}\]{_PAR}:$",
         rf"(?:^|(?<=[\s\x00]))(?P<at>(?:>>+[ ]*|[-–—][ ]+)){_NAME}{_PAR}:$",
+        rf"(?:^|(?<=[\s\x00\x01]))(?P<at>)(?P<name>{_SPK}){_PAR}:$",
         rf"(?:^\s*|[\n\x00]\s*|[.!?…][\"'”’)\]]*\s+|[ ]{{2,}})(?P<at>){_NAME}{_PAR}:$",
     )
 )
@@ -171,7 +172,7 @@ def scan(text: str) -> tuple[list[tuple[int, int]], list[tuple[int, int, tuple[s
         flat = "".join(masked)
         for m in re.compile(r":(?=[\s*\x00]|$)").finditer(flat):
             lo = max(0, m.start() - 90)
-            part = ("x" if lo else "") + flat[lo : m.end()]
+            part = ("\x02" if lo else "") + flat[lo : m.end()]
             if any(s <= m.start() < e for s, e, _ in labels):
                 continue
             for pattern in _LABEL:
