@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from auralake.functions.scalar import sample_score
+from auralake.operators.scan import CHUNK, HOT_ROWS, assign_chunks, running
 
 
 def bottom_k(df: DataFrame, k: int, seed: str, ident: str, by: Sequence[str] = ()) -> DataFrame:
@@ -29,17 +30,27 @@ def with_caps(df: DataFrame, n: int, cap: int, group: str, seed: str, ident: str
     return bottom_k(df, cap, seed, ident, [group]).orderBy("score", ident).limit(n)
 
 
-def split_strata(df: DataFrame, stratum: str, ident: str, share: float, seed: str) -> DataFrame:
-    """Add ``split``: per stratum the first round(n * share) rows in hash order are 'test', the others 'dev'."""
-    w = W.partitionBy(stratum)
-    scored = df.withColumn("score", sample_score(seed, F.col(ident)))
-    n = F.round(F.count(F.lit(1)).over(w) * share)
-    return scored.withColumn("split", F.when(F.row_number().over(w.orderBy("score", ident)) <= n, "test").otherwise("dev")).drop("score")
+def split_strata(df: DataFrame, stratum: str, ident: str, share: float, seed: str, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Add ``split``: per stratum the first round(n * share) rows in hash order are 'test', the others 'dev'.
+
+    Strata are few and large, so places are counted in chunks of the hash order.
+    """
+    score = sample_score(seed, F.col(ident))
+    scored = df.withColumns({"__score": score, "__at": F.conv(F.substring(score, 1, 12), 16, 10).cast("long")})
+    sizes = scored.groupBy(stratum).agg(F.count(F.lit(1)).alias("__n")).withColumnRenamed(stratum, "__g")
+    cut, chunked = assign_chunks(scored, [stratum], "__at", hot_rows)
+    placed = running(cut, [stratum], ["__at", "__score", ident], {"__p": ("sum", F.lit(1), True)}, chunked)
+    out = placed.join(sizes, F.col(stratum).eqNullSafe(F.col("__g")))
+    return out.withColumn("split", F.when(F.col("__p") <= F.round(F.col("__n") * share), "test").otherwise("dev")).drop("__score", "__at", "__p", "__n", "__g", CHUNK)
 
 
-def round_robin(df: DataFrame, group: str, order: Sequence[str | Column]) -> DataFrame:
-    """Add ``turn``, the place of a row in its group; ordering by (turn, group) deals the groups in rounds."""
-    return df.withColumn("turn", F.row_number().over(W.partitionBy(group).orderBy(*order)))
+def round_robin(df: DataFrame, group: str, order: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Add ``turn``, the place of a row in its group (nulls first); ordering by (turn, group) deals the groups in rounds.
+
+    The first order column is a number, date or time: a hot group is cut into chunks of it.
+    """
+    cut, chunked = assign_chunks(df, [group], order[0], hot_rows)
+    return running(cut, [group], order, {"turn": ("sum", F.lit(1), True)}, chunked).drop(CHUNK)
 
 
 def spread_evenly(df: DataFrame, group: Sequence[str], order: Sequence[str], cap: int) -> DataFrame:

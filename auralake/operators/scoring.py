@@ -7,10 +7,10 @@ from collections.abc import Sequence
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from auralake.functions.scalar import f1_score, safe_ratio
+from auralake.operators.scan import HOT_ROWS, assign_chunks, running
 
 
 def confusion(df: DataFrame, keys: Sequence[str], truth: Column, predicted: Column) -> DataFrame:
@@ -69,15 +69,15 @@ def krippendorff_alpha(df: DataFrame, unit: str, value: str, ordinal: bool = Fal
     return both.select("n", F.when(F.col("e") > 0, 1 - (F.col("o") / F.col("n")) / (F.col("e") / (F.col("n") * (F.col("n") - 1)))).alias("alpha"))
 
 
-def auroc(df: DataFrame, score: str, positive: Column) -> DataFrame:
+def auroc(df: DataFrame, score: str, positive: Column, hot_rows: int = HOT_ROWS) -> DataFrame:
     """P(positive scores higher) + half the ties, from counts per distinct score; null without both classes.
 
     Scores are aggregated first; the running count over distinct scores is taken
-    in one pass (their number, not that of the rows, meets in the window).
+    in chunks of their order where there are many (see ``operators.scan``).
     """
-    per = df.filter(F.col(score).isNotNull()).groupBy(F.col(score).alias("s")).agg(F.count_if(positive).alias("p"), F.count_if(~positive).alias("q"))
-    w = W.partitionBy(F.lit(1)).orderBy("s").rowsBetween(W.unboundedPreceding, -1)
-    run = per.withColumn("below", F.coalesce(F.sum("q").over(w), F.lit(0)))
+    per = df.filter(F.col(score).isNotNull()).groupBy(F.col(score).alias("s")).agg(F.count_if(positive).alias("p"), F.count_if(~positive).alias("q")).withColumn("one", F.lit(1))
+    per, chunked = assign_chunks(per, ["one"], "s", hot_rows)
+    run = running(per, ["one"], ["s"], {"below": ("sum", F.col("q"), False)}, chunked)
     agg = run.agg(F.sum("p").alias("positives"), F.sum("q").alias("negatives"), F.sum(F.col("p") * (F.col("below") + F.col("q") / 2)).alias("wins"))
     return agg.select("positives", "negatives", F.when((F.col("positives") > 0) & (F.col("negatives") > 0), F.col("wins") / (F.col("positives") * F.col("negatives"))).alias("auroc"))
 

@@ -661,7 +661,7 @@ def stratified_split(spark, d):
 @query("select doc_id, source, row_number() over (partition by source order by created_at nulls first, doc_id) as turn from documents")
 def round_robin(spark, d):
     """W28, T12, W29."""
-    return sampling.round_robin(read(spark, d, "documents").select("doc_id", "source", "created_at"), "source", [F.col("created_at").asc_nulls_first(), "doc_id"]).drop("created_at")
+    return sampling.round_robin(read(spark, d, "documents").select("doc_id", "source", "created_at"), "source", ["created_at", "doc_id"]).drop("created_at")
 
 
 @query("select source, quantile_disc(n_chars, 0.9) as q from documents where n_chars is not null group by 1")

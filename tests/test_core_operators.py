@@ -111,6 +111,8 @@ def test_agreement_statistics(spark):
     assert scoring.krippendorff_alpha(same, "u", "v").first().alpha == 1.0
     auc = spark.createDataFrame([(0.1, False), (0.4, True), (0.4, False), (0.9, True)], "s double, p boolean")
     assert scoring.auroc(auc, "s", F.col("p")).first().auroc == 0.875
+    many = spark.createDataFrame([((i * 7919 % 101) / 10, i % 3 == 0) for i in range(300)], "s double, p boolean")
+    assert scoring.auroc(many, "s", F.col("p"), hot_rows=5).first() == scoring.auroc(many, "s", F.col("p")).first()
     assert scoring.auroc(auc.filter("p"), "s", F.col("p")).first().auroc is None
 
 
@@ -151,6 +153,9 @@ def test_spread(spark):
     df = spark.createDataFrame([("g", i) for i in range(10)] + [("h", 0)], "g string, i int")
     got = sorted((r.g, r.i) for r in sampling.spread_evenly(df, ["g"], ["i"], 3).collect())
     assert got == [("g", int(i * 10 / 3 + 10 / 6)) for i in range(3)] + [("h", 0)]
+    x = spark.createDataFrame([("g" if i % 3 else None, i, i // 7) for i in range(200)], "g string, i int, o int")
+    for f in (lambda h: sampling.split_strata(x, "g", "i", 0.3, "s", h), lambda h: sampling.round_robin(x, "g", ["o", "i"], h)):  # chunks change nothing
+        assert sorted(map(tuple, f(10).collect()), key=repr) == sorted(map(tuple, f(10**6).collect()), key=repr)
     assert sampling.greedy_fill([5, 6, 4], 10) == [True, False, True]
 
 
