@@ -218,3 +218,15 @@ def safe_ratio(a: Column, b: Column) -> Column:
 def f1_score(tp: Column, fp: Column, fn: Column) -> Column:
     """G12."""
     return safe_ratio(2 * tp, 2 * tp + fp + fn)
+
+
+def canonical_chart(c: Column | str) -> Column:
+    """'<platform>:<region>:show:<genre>' of a chart name like 'apple_us_genre_1512' or 'spotify_us_top'; null if unmapped."""
+    p = r"^(apple|spotify)_([a-z]{2})_(?:top|genre_(\d+))$"
+    genre = F.coalesce(F.nullif(F.regexp_extract(col(c), p, 3), F.lit("")), F.lit("all"))
+    return F.when(col(c).rlike(p), F.concat_ws(":", F.regexp_extract(col(c), p, 1), F.regexp_extract(col(c), p, 2), F.lit("show"), genre))
+
+
+def numbering(tag: Column, title: Column) -> Column:
+    """an episode number from its tag, else from the title."""
+    return F.coalesce(tag.try_cast("int"), F.regexp_extract(title, r"(?i)(?:episode|ep\.?|#)\s*(\d{1,5})", 1).try_cast("int"))

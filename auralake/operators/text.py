@@ -314,3 +314,49 @@ def trim_repeated_prefix(before: str, after: str, reach: int = 30, least: int =
     return after
 
 
+
+
+# Phrases of certainty, firm to weak.
+CERTAINTY = {"absolute": ["always", "never", "definitely", "proven"], "hedged": ["might", "probably", "i don't think", "tend to"], "speculative": ["maybe", "could it be", "i suppose"]}
+
+
+def certainty_markers(df: DataFrame, key: str, text: str, phrases: Mapping[str, list[str]] = CERTAINTY) -> DataFrame:
+    """(key, level, n): whole-word occurrences of the phrases of each level; levels without one are left out."""
+    low = F.lower(F.coalesce(F.col(text), F.lit("")))
+    counts = F.array(*[F.struct(F.lit(level).alias("level"), F.size(F.regexp_extract_all(low, F.lit(r"\b(" + "|".join(re.escape(p).replace(r"\ ", " ") for p in ps) + r")\b"), F.lit(1))).alias("n")) for level, ps in phrases.items()])
+    return df.select(key, F.inline(counts)).filter("n > 0")
+
+
+def name_candidates(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, name, n): runs of two and more capitalised words, and spelled domains ("x dot com")."""
+    t = F.coalesce(F.col(text), F.lit(""))
+    runs = F.regexp_extract_all(t, F.lit(r"\b([A-Z][a-z]+(?: [A-Z][a-z]+)+)\b"), F.lit(1))
+    sites = F.regexp_extract_all(F.lower(t), F.lit(r"\b([a-z0-9]+ dot (?:com|org|net|fm))\b"), F.lit(1))
+    return df.select(key, F.explode(F.concat(runs, sites)).alias("name")).groupBy(key, "name").agg(F.count(F.lit(1)).alias("n"))
+
+
+def claim_runs(flags: list[bool], ends: list[bool], most: int) -> list[tuple[int, int]]:
+    """Greedy runs of flagged units: a run grows to ``most`` units and stops behind a sentence's end."""
+    out, i = [], 0
+    while i < len(flags):
+        if not flags[i]:
+            i += 1
+            continue
+        j = i
+        while j + 1 < len(flags) and flags[j + 1] and not ends[j] and j - i + 1 < most:
+            j += 1
+        out.append((i, j))
+        i = j + 1
+    return out
+
+
+def merge_chunk_words(words: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Words of overlapping time chunks, each kept by the chunk in whose share its middle lies.
+
+    A chunk's share ends halfway through its overlap with the next. words:
+    audio_id, chunk, start_s, end_s, word; chunks: audio_id, chunk, c_start, c_end.
+    """
+    w = W.partitionBy("audio_id").orderBy("chunk")
+    c = chunks.withColumns({"lo": F.coalesce((F.lag("c_end").over(w) + F.col("c_start")) / 2, F.lit(float("-inf"))), "hi": F.coalesce((F.lead("c_start").over(w) + F.col("c_end")) / 2, F.lit(float("inf")))})
+    mid = (F.col("start_s") + F.col("end_s")) / 2
+    return words.join(c, ["audio_id", "chunk"]).filter((mid >= F.col("lo")) & (mid < F.col("hi"))).select(*words.columns)

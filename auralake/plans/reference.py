@@ -12,9 +12,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from auralake.functions import scalar as fn
-from auralake.operators import catalog, charts, intervals, labels, sampling, scoring, text
+from auralake.operators import catalog, charts, evaluation, intervals, labels, sampling, scoring, selection, text
 from auralake.session import read
-from auralake.sources import captures, transcripts
+from auralake.sources import captures, jsonl, transcripts
 from auralake.streaming import jobs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -879,3 +879,164 @@ def listing_round_trip(spark, d):
     b = e.groupBy("user_id", "day").agg(F.to_json(F.concat(head, F.collect_list("r"))).alias("body"))
     p = captures.parse_listing(b.select(F.struct("user_id", "day").alias("k"), "body"), "k", "body")
     return p.select("k.user_id", F.col("trusted").cast("string").alias("trusted"), "at", "original")
+
+
+# ---- selection and evaluation ------------------------------------------------------------------------
+def _candidates(spark, d):
+    hit = catalog.episodes_in_windows(dated_episodes(spark, d).select("entity", "day", F.col("id").alias("episode_id")).distinct(), windows(spark, d).select("entity", "win_start", "win_end").distinct())
+    t = read(spark, d, "transcripts").select("episode_id").distinct().withColumn("done", F.lit(True))
+    return hit.join(t, "episode_id", "left").withColumn("done", F.coalesce("done", F.lit(False))).withColumn("own", F.lit(True)).select("entity", "win_start", "win_end", "episode_id", "day", "own", "done")
+
+
+@query(f"with {_EP}, {_WIN}, w as (select distinct entity, win_start, win_end from win), j as (select w.entity, win_start, win_end, ep.id as episode_id, row_number() over (partition by ep.id order by win_start, win_end, w.entity) as n from w join ep on ep.entity = w.entity and ep.day >= win_start and ep.day < win_end) select entity, win_start, win_end, episode_id from j where n = 1")
+def first_windows(spark, d):
+    """W21 without a cap."""
+    return selection.first_window(_candidates(spark, d).select("entity", "win_start", "win_end", "episode_id"), "episode_id", ["win_start", "win_end", "entity"])
+
+
+@query()
+def capped_selection(spark, d):
+    """W21, W20 (what a window takes depends on those before it)."""
+    return selection.select_with_caps(_candidates(spark, d).drop("win_end").distinct(), 2)
+
+
+def _feed_captures(spark, d):
+    return read(spark, d, "episodes").select(F.concat(F.lit("podcast:"), F.col("podcast_id").cast("string")).alias("entity"), F.to_date("first_seen_at").alias("day"), F.md5(F.coalesce("audio_url", F.lit(""))).alias("digest"), "first_seen_at").filter("entity is not null and day is not null").distinct()
+
+
+@query()
+def next_captures(spark, d):
+    """Z1 (a frontier that moves from window to window)."""
+    return selection.next_captures(_feed_captures(spark, d).select("entity", "day", "digest"), windows(spark, d).select("entity", "win_start", "win_end"))
+
+
+_CAP = "cap as (select distinct 'podcast:' || podcast_id as entity, first_seen_at, first_seen_at::date as day from episodes where podcast_id is not null and first_seen_at is not null)"
+
+
+@query(f"with {_WIN}, {_CAP}, w as (select entity, max(win_start) as target from win group by 1), r as (select cap.entity, first_seen_at, target, day, row_number() over (partition by cap.entity order by case when extract(hour from first_seen_at) < 12 then 0 else 1 end, abs(date_diff('day', target, day)), first_seen_at) as place from cap join w using (entity)) select entity, first_seen_at, place from r where place <= 3")
+def ranked_captures(spark, d):
+    """Z3: a top-k report; captures of the morning stand for direct hits."""
+    c = _feed_captures(spark, d).select("entity", "first_seen_at").distinct().join(windows(spark, d).groupBy("entity").agg(F.max("win_start").alias("target")), "entity")
+    return selection.rank_captures(c, ["entity"], F.col("target"), "first_seen_at", F.hour("first_seen_at") < 12).filter("place <= 3").select("entity", "first_seen_at", "place")
+
+
+@query(f"with {_WIN}, {_CAP}, w as (select distinct entity, win_start, win_end from win), g as (select w.entity, win_start, win_end, min(case when day >= win_end and day <= win_end + 14 then first_seen_at end) as a, max(case when day > win_start and day < win_end then first_seen_at end) as b from w join cap using (entity) group by all) select entity, win_start, win_end, coalesce(a, b) as chosen from g where coalesce(a, b) is not null")
+def chosen_captures(spark, d):
+    """Z4."""
+    c = windows(spark, d).select("entity", "win_start", "win_end").distinct().join(_feed_captures(spark, d).select("entity", "first_seen_at").distinct(), "entity")
+    return selection.choose_capture(c, ["entity", "win_start", "win_end"], "win_end", "first_seen_at", 14, "win_start")
+
+
+@query(
+    f"""with {_EP}, g as (select distinct id, episode_guid, coalesce(has_rss_transcript, false) as h from episodes), x as (select ep.id, podcast_id, h, nullif(episode_guid, '') as guid, day, {_KEY.format('title')} as key from ep join g using (id)),
+i as (select * from x where not h), e as (select * from x where h)
+select 'r' || i.id as ref, case when g.id is not null then 'guid' when dd.id is not null then 'day_title' when n.id is not null then 'adjacent_day' else 'insert' end as action, coalesce(g.id, dd.id, n.id) as id
+from i left join (select podcast_id, guid, min(id) as id from e where guid is not null group by all) g on g.podcast_id = i.podcast_id and g.guid = i.guid
+left join (select podcast_id, day, key, min(id) as id from e where day is not null and key is not null group by all) dd on dd.podcast_id = i.podcast_id and dd.day = i.day and dd.key = i.key
+left join (select podcast_id, dn as day, key, min(id) as id from (select podcast_id, unnest([day - 1, day + 1]) as dn, key, id from e where day is not null and length(key) >= 12) group by all) n on n.podcast_id = i.podcast_id and n.day = i.day and n.key = i.key"""
+)
+def import_plan(spark, d):
+    """Episodes without a feed transcript as incoming rows, those with one as the existing."""
+    g = read(spark, d, "episodes").select("id", F.nullif("episode_guid", F.lit("")).alias("guid"), F.coalesce("has_rss_transcript", F.lit(False)).alias("h")).distinct()
+    x = dated_episodes(spark, d).join(g, "id").select("id", "podcast_id", "guid", "day", "title", "h")
+    return selection.import_plan(x.filter("not h").withColumn("ref", F.concat(F.lit("r"), F.col("id").cast("string"))), x.filter("h"))
+
+
+@query(
+    f"""with p as (select distinct id, {_KEY.format('title')} as k, {_KEY.format('publisher')} as sp from podcasts), r as (select distinct result_id, result_position, {_KEY.format("case when json_valid(record) then record->>'collectionName' end")} as k, {_KEY.format("case when json_valid(record) then record->>'artistName' end")} as rp from search_results),
+j as (select p.id as show_id, result_id, case when sp = rp then 1 else 3 end as tier, row_number() over (partition by p.id order by case when sp = rp then 1 else 3 end, result_position nulls first, result_id) as n from p join r on p.k = r.k) select show_id, result_id, tier from j where n = 1"""
+)
+def best_matches(spark, d):
+    """J21, P12."""
+    f = lambda n: F.get_json_object("record", f"$.{n}")
+    r = read(spark, d, "search_results").select("result_id", F.col("result_position").alias("position"), f("collectionName").alias("title"), f("artistName").alias("publisher")).distinct()
+    return selection.best_match(r, read(spark, d, "podcasts").select(F.col("id").alias("show_id"), "title", "publisher").distinct())
+
+
+@query()
+def reposts(spark, d):
+    """J17, F12, F13 (difflib; tested against brute force)."""
+    return selection.reposts(dated_episodes(spark, d))
+
+
+@query()
+def item_scores(spark, d):
+    """The third annotator against the gold of the first two."""
+    a = _atoms(spark, d)
+    gold = scoring.cluster_atoms(a.filter("annotator <> '2'"), "item").withColumn("gold_id", F.concat_ws("|", "label", "tight_start", "tight_end"))
+    mine = a.filter("annotator = '2'").withColumn("pred_id", F.concat_ws("|", "label", "span_start", "span_end")).select("item", "pred_id", "label", "span_start", "span_end").distinct()
+    return evaluation.score_items(mine, gold)
+
+
+@query()
+def annotator_f1(spark, d):
+    """G5, J19, A31."""
+    return evaluation.pairwise_f1(_atoms(spark, d).select("item", "annotator", "label", "span_start", "span_end"))
+
+
+@query()
+def held_out_annotators(spark, d):
+    """G6."""
+    return evaluation.leave_one_out(_atoms(spark, d).select("item", "annotator", "label", "span_start", "span_end"))
+
+
+@query("with t as (select unnest([100.0, 300.0, 800.0, 2000.0]) as threshold), x as (select n_chars, coalesce(kind = 'transcript', false) as t from documents), a as (select threshold, count(*) filter (coalesce(n_chars >= threshold, false) and t) as tp, count(*) filter (coalesce(n_chars >= threshold, false) and not t) as fp, count(*) filter (not coalesce(n_chars >= threshold, false) and t) as fn from t, x group by 1) select *, case when 2 * tp + fp + fn > 0 then 2 * tp / (2 * tp + fp + fn)::double else 0 end as f1 from a")
+def threshold_sweep(spark, d):
+    """X12."""
+    return evaluation.sweep(read(spark, d, "documents"), "n_chars", F.col("kind") == "transcript", [100, 300, 800, 2000])
+
+
+@query("select 'k' as key, sum((props->>'k')::double) as total, count(*) as n from events where json_valid(props) and props->>'k' is not null")
+def usage_totals(spark, d):
+    """A35."""
+    return evaluation.map_totals(read(spark, d, "events"), "props")
+
+
+@query("select event_id, try_cast(props->>'k' as bigint) as k from events")
+def usage_columns(spark, d):
+    """S27."""
+    return jsonl.flatten_usage(read(spark, d, "events"), ["event_id"], "props", {"k": "$.k"})
+
+
+@query("select kind, source, count(*) as items, sum(('0x' || left(sha256(doc_id::varchar), 8))::bigint)::varchar as fingerprint from documents group by all")
+def item_composition(spark, d):
+    """A36."""
+    return evaluation.composition(read(spark, d, "documents"), "doc_id", ["kind", "source"])
+
+
+@query("with r as (select strftime(ts, '%Y-%m-%d') as bucket, event_type, count(*) as n, sum(value) as total from events group by all) select bucket, event_type as metric, total from r")
+def daily_usage(spark, d):
+    """A34, Z22, F23."""
+    e = read(spark, d, "events").groupBy(fn.bucket_key(F.col("ts"), "day").alias("bucket"), F.col("event_type").alias("metric"))
+    return e.agg(F.sum("value").alias("total"))
+
+
+@query("with v as (select event_type as metric, ts::date as day, sum(value) as value from events group by all) select metric, avg(value) as mean, min(value) as low, max(value) as high, count(*) as n from v group by 1")
+def repeat_means(spark, d):
+    """G16."""
+    return evaluation.mean_of_repeats(read(spark, d, "events").groupBy(F.col("event_type").alias("metric"), F.to_date("ts").alias("day")).agg(F.sum("value").alias("value")))
+
+
+@query("with m as (select doc_id, lower(coalesce(text, '')) as t from documents), x as (select doc_id, unnest(['absolute', 'hedged', 'speculative']) as level, unnest([len(regexp_extract_all(t, '\\b(always|never|definitely|proven)\\b')), len(regexp_extract_all(t, '\\b(might|probably|i don''t think|tend to)\\b')), len(regexp_extract_all(t, '\\b(maybe|could it be|i suppose)\\b'))]) as n from m) select * from x where n > 0")
+def certainty_markers(spark, d):
+    """F21."""
+    return text.certainty_markers(read(spark, d, "documents"), "doc_id", "text")
+
+
+@query("with x as (select doc_id, unnest(list_concat(regexp_extract_all(coalesce(text, ''), '\\b([A-Z][a-z]+(?: [A-Z][a-z]+)+)\\b', 1), regexp_extract_all(lower(coalesce(text, '')), '\\b([a-z0-9]+ dot (?:com|org|net|fm))\\b', 1))) as name from documents where lang = 'en') select doc_id, name, count(*) as n from x group by all")
+def name_candidates(spark, d):
+    """F22, on English documents (capitals mark names there)."""
+    return text.name_candidates(read(spark, d, "documents").filter("lang = 'en'"), "doc_id", "text")
+
+
+@query("select chart, count(*) as n, case when regexp_matches(chart, '^(apple|spotify)_([a-z]{2})_(top|genre_\\d+)$') then split_part(chart, '_', 1) || ':' || split_part(chart, '_', 2) || ':show:' || coalesce(nullif(regexp_extract(chart, 'genre_(\\d+)$', 1), ''), 'all') end as canonical from podcast_charts group by 1")
+def canonical_charts(spark, d):
+    """F3, J8, S12."""
+    c = read(spark, d, "podcast_charts").groupBy("chart").agg(F.count(F.lit(1)).alias("n"))
+    return c.withColumn("canonical", fn.canonical_chart("chart"))
+
+
+@query("with e as (select distinct id, title from episodes) select id, try_cast(nullif(regexp_extract(title, '(?i)(?:episode|ep\\.?|#)\\s*(\\d{1,5})', 1), '') as int) as number from e")
+def episode_numbers(spark, d):
+    """F26."""
+    return read(spark, d, "episodes").select("id", "title").distinct().select("id", fn.numbering(F.lit(None).cast("string"), F.col("title")).alias("number"))

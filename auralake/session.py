@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -25,7 +27,9 @@ def shared_dir(spark: SparkSession) -> str:
         master = spark.sparkContext.master
         if not master.startswith("local[") and master != "local":
             raise ValueError(f"set {CHECKPOINT_KEY} to a folder that all executors share")
-        d = "file://" + tempfile.mkdtemp(prefix="auralake-")
+        local = tempfile.mkdtemp(prefix="auralake-")
+        atexit.register(shutil.rmtree, local, ignore_errors=True)
+        d = "file://" + local
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(d)
     return d

@@ -100,3 +100,27 @@ def read_ids(spark: SparkSession, path: str, column: str | None = None) -> DataF
 def write_csv(df: DataFrame, path: str) -> None:
     """CSV with a header."""
     df.write.mode("errorifexists").option("header", True).csv(path)
+
+
+def union_tables(*tables: DataFrame) -> DataFrame:
+    """Rows of tables by column name; columns that one lacks are null."""
+    out = tables[0]
+    for t in tables[1:]:
+        out = out.unionByName(t, allowMissingColumns=True)
+    return out
+
+
+def flatten_usage(df: DataFrame, keys: list[str], usage: str, paths: dict[str, str]) -> DataFrame:
+    """JSON usage as integer columns (name -> JSON path); missing or broken values are null."""
+    return df.select(*keys, *[F.get_json_object(usage, p).try_cast("long").alias(n) for n, p in paths.items()])
+
+
+def publish_scan(episodes: DataFrame, counts: DataFrame, sentences: DataFrame, path: str) -> dict:
+    """The three tables of a scan and, last, their manifest: without it nothing counts as published. Refuses an existing path."""
+    spark = episodes.sparkSession
+    manifest = {}
+    for name, df in (("episodes", episodes), ("counts", counts), ("sentences", sentences)):
+        write_table(df, f"{path}/{name}")
+        manifest[name] = spark.read.parquet(f"{path}/{name}").count()
+    spark.createDataFrame([(json.dumps(manifest, sort_keys=True),)], "value string").coalesce(1).write.mode("errorifexists").text(f"{path}/manifest")
+    return manifest

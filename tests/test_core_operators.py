@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from auralake.functions import scalar as fn
-from auralake.operators import catalog, charts, labels, sampling, scoring, text
+from auralake.operators import catalog, charts, evaluation, labels, sampling, scoring, selection, text
 from auralake.operators.graph import connected_components
 from auralake.session import broadcast_if_small, shared_dir
 
@@ -194,3 +194,60 @@ def test_wer_and_shared_folder(spark):
     assert shared_dir(spark).startswith("file://")
     big = spark.range(10)
     assert broadcast_if_small(big, 5) is big
+
+
+def test_capped_selection_takes_each_episode_once(spark):
+    d0 = date(2020, 1, 1)
+    rows = [("p", w, i, d0 + timedelta(days=i), i != 3, i == 5) for i in range(8) for w in (d0, d0 + timedelta(days=2))]
+    got = selection.select_with_caps(spark.createDataFrame(rows, "entity string, win_start date, episode_id long, day date, own boolean, done boolean"), 3).collect()
+    assert len(got) == 6 and len({r.episode_id for r in got}) == 6 and 5 in {r.episode_id for r in got if r.win_start == d0} and 3 not in {r.episode_id for r in got}
+
+
+def test_captures(spark):
+    d0 = date(2020, 1, 1)
+    caps = spark.createDataFrame([("p", d0 + timedelta(days=i), g) for i, g in [(1, "a"), (12, "b"), (13, "b"), (30, "c")]], "entity string, day date, digest string")
+    wins = spark.createDataFrame([("p", d0, d0 + timedelta(days=10)), ("p", d0 + timedelta(days=10), d0 + timedelta(days=20)), ("p", d0 + timedelta(days=40), d0 + timedelta(days=50))], "entity string, win_start date, win_end date")
+    assert sorted((r.day - d0).days for r in selection.next_captures(caps, wins).collect()) == [12, 30]
+    assert selection.balanced_shards([5, 3, 3, 2], 2) == [0, 1, 1, 0]
+
+
+def test_import_plan(spark):
+    d = date(2020, 1, 2)
+    old = spark.createDataFrame([(7, 1, "g", d, "Title of an episode"), (8, 1, None, d, "Short")], "id long, podcast_id long, guid string, day date, title string")
+    new = spark.createDataFrame([("a", 1, "g", None, None), ("b", 1, "x", d, "SHORT!"), ("c", 1, None, d + timedelta(days=1), "title of an episode"), ("d", 1, None, d + timedelta(days=1), "short"), ("e", 2, "g", d, "Short")], "ref string, podcast_id long, guid string, day date, title string")
+    assert {(r.ref, r.action, r.id) for r in selection.import_plan(new, old).collect()} == {("a", "guid", 7), ("b", "day_title", 8), ("c", "adjacent_day", 7), ("d", "insert", None), ("e", "insert", None)}
+
+
+def test_reposts_against_all_pairs(spark, data):
+    from auralake.plans.reference import dated_episodes
+
+    e = dated_episodes(spark, data)
+    rows = e.filter("day is not null and podcast_id is not null and duration_seconds > 300").select("id", "podcast_id", "day", "duration_seconds", fn.norm_title("title").alias("n")).filter(F.length("n") >= 8).collect()
+    want = {}
+    for x in rows:
+        for r in sorted(rows, key=lambda r: (r.day, r.id)):
+            if x.podcast_id != r.podcast_id and (r.day, r.id) < (x.day, x.id) and abs(x.duration_seconds - r.duration_seconds) <= 1:
+                a, b = x.n, r.n
+                if abs(len(a) - len(b)) <= 0.1 * max(len(a), len(b)) and selection.title_ratio(a, b) >= 0.9 or (a in b or b in a) and (min(len(a), len(b)) >= 12 or x.duration_seconds == r.duration_seconds or (x.day - r.day).days <= 7):
+                    want.setdefault(x.id, r.id)
+    assert {r.id: r.first_id for r in selection.reposts(e).collect()} == want and want
+
+
+def test_item_scores(spark):
+    g = spark.createDataFrame([("i", "g1", "x", 0, 9, 0, 9, "required"), ("i", "g2", "x", 20, 29, 20, 29, "required"), ("i", "g3", "x", 40, 49, 40, 49, "singleton"), ("i", "g4", "x", 60, 69, 60, 69, "rejected")], "item string, gold_id string, label string, tight_start long, tight_end long, env_start long, env_end long, tier string")
+    p = spark.createDataFrame([("i", "p1", "x", 0, 9), ("i", "p2", "x", 41, 49), ("i", "p3", "x", 60, 69), ("i", "p4", "y", 0, 9)], "item string, pred_id string, label string, span_start long, span_end long")
+    assert tuple(evaluation.score_items(p, g).first()) == ("i", 1, 1, 2, 1, 1)
+    assert evaluation.pool(evaluation.score_items(p, g)).first().f1 == 2 / 5
+    o = evaluation.apply_overlay(g, spark.createDataFrame([("i", "g3", "rejected"), ("i", "g1", "rejected")], "item string, gold_id string, tier string"))
+    assert {r.gold_id: r.tier for r in o.collect()} == {"g1": "required", "g2": "required", "g3": "rejected", "g4": "rejected"}
+    plants = spark.createDataFrame([("i", "a", "x", 1, 2), ("i", "b", "y", 1, 2), ("i", "c", "x", 300, 301), ("i", "d", "x", 41, 42), ("i", "e", "x", 5, 25)], "item string, plant_id string, label string, span_start long, span_end long")
+    assert {r.plant_id: r.outcome for r in evaluation.check_plants(plants, g).collect()} == {"a": "ok", "b": "contradicted", "c": "missing", "d": "singleton", "e": "split"}
+    c = spark.createDataFrame([("absent", 1, None, None), ("lower", 2, 1, None), ("lower", 2, 3, None), ("to", 1, 4, 4), ("to", None, 4, 4)], "kind string, base_rank int, twin_rank int, want int")
+    assert {r.kind: (r.pairs, r.rate) for r in evaluation.contrast_rates(c).collect()} == {"absent": (1, 1.0), "lower": (2, 0.5), "to": (1, 1.0)}
+
+
+def test_runs_and_chunks(spark):
+    assert text.claim_runs([True, True, False, True, True, True], [False, True, False, False, False, False], 2) == [(0, 1), (3, 4), (5, 5)]
+    w = spark.createDataFrame([("a", 0, 8.0, 8.4, "x"), ("a", 1, 8.0, 8.4, "x"), ("a", 0, 9.6, 9.8, "y"), ("a", 1, 9.6, 9.8, "y")], "audio_id string, chunk int, start_s double, end_s double, word string")
+    c = spark.createDataFrame([("a", 0, 0.0, 10.0), ("a", 1, 8.0, 18.0)], "audio_id string, chunk int, c_start double, c_end double")
+    assert sorted((r.word, r.chunk) for r in text.merge_chunk_words(w, c).collect()) == [("x", 0), ("y", 1)]
