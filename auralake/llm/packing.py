@@ -11,8 +11,6 @@ badly filled are packed again in a second round, in fewer groups.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F

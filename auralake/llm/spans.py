@@ -16,7 +16,6 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 LIMIT, OVERLAP = 600, 60
 #: Penalties of a cut by kind, against an imbalance of at most 1 a piece.
