@@ -737,8 +737,14 @@ def optimal_match(spark, d):
 
 
 def _atoms(spark, d):
+    """Audio spans as annotations of three annotators over units of ten seconds."""
     a = _spans(spark, d)
-    return a.select(F.col("episode_id").alias("item"), "episode_id", F.pmod(F.xxhash64("s", "e"), F.lit(3)).cast("string").alias("annotator"), F.lit("span").alias("axis"), F.col("span_kind").alias("label"), F.lit("host").alias("role"), F.floor(F.col("s") / 10000).alias("span_start"), F.floor(F.col("e") / 10000).alias("span_end"), (F.pmod(F.xxhash64("e", "s"), F.lit(100)) / 100).alias("confidence")).distinct()
+    s, e = F.col("s"), F.col("e")
+    return a.select(F.col("episode_id").alias("item"), "episode_id", ((s + e) % 3).cast("string").alias("annotator"), F.lit("span").alias("axis"), F.col("span_kind").alias("label"), F.lit("host").alias("role"), F.floor(s / 10000).alias("span_start"), F.floor(e / 10000).alias("span_end"), (((s * 7 + e) % 100) / 100).alias("confidence")).distinct()
+
+
+_ATOMS = _AU + ", atom as (select distinct episode_id, ((s + e) % 3)::varchar as annotator, span_kind as label, floor(s / 10000)::bigint as span_start, floor(e / 10000)::bigint as span_end, ((s * 7 + e) % 100) / 100.0 as confidence from ok)"
+_ISL = _ATOMS + ", m as (select *, max(span_end) over (partition by episode_id, label order by span_start, span_end rows between unbounded preceding and 1 preceding) as b from atom), i as (select *, sum(case when b is null or span_start > b + 1 then 1 else 0 end) over (partition by episode_id, label order by span_start, span_end rows unbounded preceding) as k from m)"
 
 
 @query()
@@ -747,16 +753,16 @@ def gold_clusters(spark, d):
     return scoring.cluster_atoms(_atoms(spark, d), "item")
 
 
-@query()
+@query(f"with {_ISL} select episode_id, 'span' as axis, label, 'host' as role, min(span_start) as span_start, max(span_end) as span_end, count(*) as n_sources, max(confidence) as confidence from i group by episode_id, label, k")
 def annotation_islands(spark, d):
     """W11, W15, G1."""
     return labels.annotation_islands(_atoms(spark, d))
 
 
-@query()
+@query(f"with {_ISL} select episode_id, 'span' as axis, min(span_start) as span_start, max(span_end) as span_end, [label] as labels, count(*) as n_detections from i group by episode_id, label, k")
 def merged_detections(spark, d):
     """W10."""
-    return labels.merge_detections(_atoms(spark, d).select("episode_id", "axis", "span_start", "span_end", F.array("label").alias("labels"), F.lit(0).alias("window_index"), F.xxhash64("label", "annotator").alias("position")))
+    return labels.merge_detections(_atoms(spark, d).select("episode_id", "axis", "span_start", "span_end", F.array("label").alias("labels"), F.lit(0).alias("window_index"), F.xxhash64("label", "annotator", "confidence").alias("position")))
 
 
 @query()
@@ -784,11 +790,12 @@ def validated_atoms(spark, d):
     return labels.validate_atoms(_atoms(spark, d), u, ["omitted", "speech"], ["span"]).groupBy("error_kind").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+@query(f"with {_ATOMS}, p as (select episode_id, label, count(*) as n, max(confidence) as top from atom group by all) select episode_id, string_agg(label || ':' || n || ':' || round(top * 100)::int, ',' order by label) as labels, sum(n)::bigint as n_annotations from p group by 1")
 def label_summary(spark, d):
     """A15."""
     s = labels.label_summary(_atoms(spark, d))
-    return s.select("episode_id", F.to_json("labels").alias("labels"), "n_annotations")
+    flat = F.transform(F.map_entries("labels"), lambda x: F.concat_ws(":", x["key"], x["value"]["n"].cast("string"), F.round(x["value"]["top"] * 100).cast("int").cast("string")))
+    return s.select("episode_id", F.array_join(flat, ",").alias("labels"), "n_annotations")
 
 
 # ---- functions, sources, streams ---------------------------------------------------------------------
