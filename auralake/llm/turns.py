@@ -46,6 +46,10 @@ _SONG = re.compile(r"[♪♫🎵🎶][^♪♫🎵🎶\n]*[♪♫🎵🎶]|[♪
 _TAG = re.compile(r"</?(?!v[\s.])[A-Za-z][^<>\n]{0,60}>|</v>")
 _VOICE = re.compile(r"<v(?:\.[^\s>]*)?\s+([^<>\n]{1,80})>")
 
+_TRAIL = re.compile(r"\s?(?:\.{2,}|…)|,")  # what goes with a hesitation sound
+_COLON = re.compile(r"(?:\s*\([^()\n]{1,24}\))*\s*:")
+_LABEL_END = re.compile(r":(?=[\s*\x00]|$)")
+
 _TOK = r"(?:[^\W\d_](?:[\w'’\-]*[^\W_])|[^\W\d_]\.?)"
 _HON = r"(?:(?:dr|mr|mrs|ms|prof|hon|rev)\.?[ ]+)?"
 _SPK = r"(?:speaker|spkr|spk|s)[ _]*\#?[ ]*\d{1,3}"
@@ -127,7 +131,7 @@ def scan(text: str) -> tuple[list[tuple[int, int]], list[tuple[int, int, tuple[s
             before, after = text[s - 1] if s else " ", text[e] if e < len(text) else " "
             if before.isalnum() or after.isalnum() or before in "'’-_" or after in "'’_" or (after == "-" and e + 1 < len(text) and text[e + 1].isalnum()):
                 continue
-            tail = re.compile(r"\s?(?:\.{2,}|…)|,").match(text, e)
+            tail = _TRAIL.match(text, e)
             hesitations.append((s, tail.end() if tail else e))
         elif kind == "anchor":
             ch = text[s]
@@ -139,7 +143,7 @@ def scan(text: str) -> tuple[list[tuple[int, int]], list[tuple[int, int, tuple[s
             m = None
             if ch == "[":
                 m = _SQUARE.match(text, s)
-                if m and re.compile(r"(?:\s*\([^()\n]{1,24}\))*\s*:|:").match(text, m.end()):
+                if m and _COLON.match(text, m.end()):
                     continue  # a label in brackets
             elif ch == "(":
                 m = _PAREN.match(text, s)
@@ -170,7 +174,7 @@ def scan(text: str) -> tuple[list[tuple[int, int]], list[tuple[int, int, tuple[s
         for s, e in hesitations:  # a hesitation is no boundary before a label
             masked[s:e] = "\x01" * (e - s)
         flat = "".join(masked)
-        for m in re.compile(r":(?=[\s*\x00]|$)").finditer(flat):
+        for m in _LABEL_END.finditer(flat):
             lo = max(0, m.start() - 90)
             part = ("\x02" if lo else "") + flat[lo : m.end()]
             if any(s <= m.start() < e for s, e, _ in labels):
