@@ -64,8 +64,9 @@ def krippendorff_alpha(df: DataFrame, unit: str, value: str, ordinal: bool = Fal
     obs = m.agg(F.sum(inner / (F.col("m") - 1)).alias("o"), F.sum("m").alias("n"))
     totals = m.select(F.inline("vs")).groupBy("v").agg(F.sum("n").alias("k")).agg(F.collect_list(F.struct("v", "k")).alias("vs"))
     exp = F.aggregate(F.flatten(F.transform("vs", lambda x: F.transform("vs", lambda y: delta(x["v"], y["v"]) * x["k"] * y["k"]))), F.lit(0.0), lambda acc, d: acc + d)
-    # two tables of one row each
-    both = obs.withColumn("one", F.lit(1)).join(totals.select(exp.alias("e"), F.lit(1).alias("one")), "one")
+    # two tables of one row each, laid side by side without a join
+    both = obs.select("o", "n", F.lit(None).cast("double").alias("e")).unionByName(totals.select(F.lit(None).cast("double").alias("o"), F.lit(None).cast("long").alias("n"), exp.alias("e")))
+    both = both.agg(F.max("o").alias("o"), F.max("n").alias("n"), F.max("e").alias("e"))
     return both.select("n", F.when(F.col("e") > 0, 1 - (F.col("o") / F.col("n")) / (F.col("e") / (F.col("n") * (F.col("n") - 1)))).alias("alpha"))
 
 
