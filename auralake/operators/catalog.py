@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from auralake.functions.scalar import has_rerun_marker, leading_number, norm_title, title_key, title_numbers
 from auralake.operators.scan import CHUNK, HOT_ROWS, assign_chunks, running
+from auralake.operators.timestamps import CANONICAL, normalise_timestamps
+from auralake.session import broadcast_if_small
 
 
 def day_of(c: Column | str) -> Column:
@@ -18,6 +20,21 @@ def day_of(c: Column | str) -> Column:
     return F.try_to_timestamp(F.substring(F.trim(c), 1, 10), F.lit("yyyy-MM-dd")).cast("date")
 
 
+def with_days(episodes: DataFrame, hosts: DataFrame) -> DataFrame:
+    """Add ``day``, the UTC day of the instant that ``published_date`` denotes (problem 1, with the zone of ``feed_host``).
+
+    A day without a time is that day in any zone. Text that denotes no instant
+    keeps the day it begins with, if any. Canonical text needs no dictionary.
+    """
+    zones = broadcast_if_small(hosts.groupBy("feed_host").agg(F.min("time_zone").alias("__host")))
+    date = F.col("published_date")
+    timed = date.contains(":") | date.rlike(r"\d{8}[Tt ]?\d{6}")
+    rows = episodes.join(zones, "feed_host", "left").withColumns({"raw": F.when(~date.rlike(CANONICAL), date), "zone": F.when(timed, F.col("__host"))})
+    written = F.when(date.rlike(r"^\d{4}-\d{2}-\d{2}"), day_of("published_date"))
+    day = F.date_from_unix_date(F.floor(F.col("utc_second") / 86400).cast("int"))
+    return normalise_timestamps(rows).withColumn("day", F.coalesce(day, written)).select(*episodes.columns, "day")
+
+
 def latest(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """The last row of each key by ``order`` (the view over an append log that an upsert gives)."""
     rest = [c for c in df.columns if c not in keys]

@@ -53,11 +53,15 @@ def ranked(spark: SparkSession, d: str) -> DataFrame:
     return e.withColumn("rank", F.row_number().over(W.partitionBy("series", "day").orderBy(F.desc("value"), "event_id"))).drop("value", "event_id")
 
 
-def dated_episodes(spark: SparkSession, d: str) -> DataFrame:
-    """Episodes, second deliveries taken off, with the day their date begins with (null where it doesn't)."""
+def episodes(spark: SparkSession, d: str) -> DataFrame:
+    """Episodes, second deliveries taken off."""
     e = read(spark, d, "episodes").select("id", "podcast_id", "title", "duration_seconds", "published_date", "episode_type", "feed_host").distinct()
-    day = F.when(F.col("published_date").rlike(r"^\d{4}-\d{2}-\d{2}"), catalog.day_of("published_date"))
-    return e.withColumn("day", day).withColumn("entity", F.concat(F.lit("podcast:"), F.col("podcast_id").cast("string")))
+    return e.withColumn("entity", F.concat(F.lit("podcast:"), F.col("podcast_id").cast("string")))
+
+
+def dated_episodes(spark: SparkSession, d: str) -> DataFrame:
+    """Episodes with the UTC day of their date, in whatever notation it is written (null where it denotes none)."""
+    return catalog.with_days(episodes(spark, d), read(spark, d, "feed_hosts"))
 
 
 def windows(spark: SparkSession, d: str) -> DataFrame:
@@ -431,7 +435,7 @@ _TR = "tr as (select distinct episode_id from transcripts)"
 def episodes_per_podcast(spark, d):
     """J1, J2, S32, Z26."""
     p = read(spark, d, "podcasts").select(F.col("id").alias("podcast_id"), F.col("title").alias("show")).distinct()
-    e = dated_episodes(spark, d).join(p, "podcast_id")
+    e = episodes(spark, d).join(p, "podcast_id")
     return e.groupBy("podcast_id").agg(F.max("show").alias("title"), F.countDistinct("id").alias("n_episodes"), F.sum(F.when(F.col("duration_seconds") > 0, F.col("duration_seconds"))).alias("seconds"))
 
 
@@ -473,7 +477,7 @@ def shared_studies(spark, d):
 @query(f"with {_EP}, {_TR} select podcast_id, count(distinct id) as missing from ep where not exists (select 1 from tr where tr.episode_id = ep.id) group by 1")
 def missing_transcripts(spark, d):
     """J7, Z28."""
-    return dated_episodes(spark, d).join(read(spark, d, "transcripts").select(F.col("episode_id").alias("id")), "id", "left_anti").groupBy("podcast_id").agg(F.countDistinct("id").alias("missing"))
+    return episodes(spark, d).join(read(spark, d, "transcripts").select(F.col("episode_id").alias("id")), "id", "left_anti").groupBy("podcast_id").agg(F.countDistinct("id").alias("missing"))
 
 
 @query(f"with {_WIN}, a as (select entity, window_label, max(win_start) as s, max(win_end) as e from win where study = 'corpus_full' group by all), b as (select entity, window_label, max(win_start) as s, max(win_end) as e from win where study = 'monthly_top' group by all) select coalesce(a.entity, b.entity) as entity, coalesce(a.window_label, b.window_label) as window_label, case when a.entity is null then 'added' when b.entity is null then 'removed' else 'changed' end as change from a full join b on a.entity = b.entity and a.window_label = b.window_label where a.entity is null or b.entity is null or a.s is distinct from b.s or a.e is distinct from b.e")
