@@ -1036,8 +1036,8 @@ def certainty_markers(spark, d):
 
 @query("with x as (select doc_id, unnest(list_concat(regexp_extract_all(coalesce(text, ''), '\\b([A-Z][a-z]+(?: [A-Z][a-z]+)+)\\b', 1), regexp_extract_all(lower(coalesce(text, '')), '\\b([a-z0-9]+ dot (?:com|org|net|fm))\\b', 1))) as name from documents where lang = 'en') select doc_id, name, count(*) as n from x group by all")
 def name_candidates(spark, d):
-    """F22, on English documents (capitals mark names there)."""
-    return text.name_candidates(read(spark, d, "documents").filter("lang = 'en'"), "doc_id", "text")
+    """F22, on all documents, whatever their ``lang`` says."""
+    return text.name_candidates(read(spark, d, "documents"), "doc_id", "text")
 
 
 @query("select chart, count(*) as n, case when regexp_matches(chart, '^(apple|spotify)_([a-z]{2})_(top|genre_\\d+)$') then split_part(chart, '_', 1) || ':' || split_part(chart, '_', 2) || ':show:' || coalesce(nullif(regexp_extract(chart, 'genre_(\\d+)$', 1), ''), 'all') end as canonical from podcast_charts group by 1")

@@ -1,8 +1,10 @@
 """Results that were once cut short: each case is lost or wrong under the narrower rule."""
 
 import datetime
+import random
+import re
 
-from auralake.operators import catalog
+from auralake.operators import catalog, text
 
 DAY = datetime.date
 
@@ -19,3 +21,36 @@ def test_days_of_all_notations(spark):
     out = catalog.with_days(rows, hosts)
     assert out.columns == [*rows.columns, "day"]
     assert {r["published_date"]: r["day"] for r in out.collect()} == cases
+
+
+def test_names_of_one_word_capitals_and_digits(spark):
+    """Single names, capitals, digits and numbers that continue a run; whatever the language column says."""
+    said = "Speaker 1: You heard about eight sleep. It's called the Pod 5. Visit eightsleep dot com slash tucker. All of our probiotics, like Vital Reds and AG1. LMNT, then lmnt and LMNT of Bank Of America The 7."
+    df = spark.createDataFrame([(1, "en", said), (2, None, "Ask Thorne."), (3, "EN-us", ""), (4, "de", None)], "doc_id long, lang string, text string")
+    got = {(r.doc_id, r.name): r.n for r in text.name_candidates(df, "doc_id", "text").collect()}
+    assert got == {(1, "Pod 5"): 1, (1, "eightsleep"): 1, (1, "Vital Reds"): 1, (1, "AG1"): 1, (1, "LMNT"): 2, (1, "Bank Of America The 7"): 1, (2, "Ask Thorne"): 1}
+
+
+def _names_by_force(t):
+    """All token intervals of a sentence that are whole runs, by their definition and not by a scan."""
+    out = []
+    t0 = text.NAME_LABEL.sub("", t, count=1).strip() or t.strip()
+    for s in re.split(r"(?<=[.!?])\s+", t0):
+        k = re.findall(r"[A-Za-z0-9][A-Za-z0-9'&+-]*", s)
+        start = lambda x: (x[0].isupper() or bool(re.search("[0-9]", x) and re.search("[A-Za-z]", x)))
+        opens = [start(x) and x.lower() not in text.NAME_STOPWORDS for x in k]
+        goes = [start(x) or x.isdigit() for x in k]
+        whole = [(i, j) for i in range(len(k)) for j in range(i, len(k)) if opens[i] and all(goes[i + 1 : j + 1]) and (j + 1 == len(k) or not goes[j + 1]) and not any(opens[h] and all(goes[h + 1 : i + 1]) for h in range(i))]
+        for i, j in whole:
+            while k[j].lower() in text.NAME_STOPWORDS:
+                j -= 1
+            out.append(" ".join(k[i : j + 1]))
+    return [n for n in out + text.NAME_SITE.findall(t) if len(n) > 1]
+
+
+def test_names_against_brute_force():
+    rnd = random.Random(3)
+    words = ["The", "the", "of", "Of", "Bank", "AG1", "5", "7", "ag1", "sleep", "I", "A", "LMNT", "One", "x.", "Pod.", "B!", "acme dot com", "b-12", "Bob:"]
+    for _ in range(500):
+        t = " ".join(rnd.choice(words) for _ in range(rnd.randrange(0, 14)))
+        assert text.names_in(t) == _names_by_force(t), t
