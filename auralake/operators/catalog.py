@@ -173,17 +173,84 @@ def publishing_gaps(episodes: DataFrame, min_days: int = 28) -> DataFrame:
     return g.filter(F.col("days") >= min_days).join(cadence, "entity").select("entity", F.col("prev").alias("gap_start"), F.col("day").alias("gap_end"), "days", "cadence")
 
 
-def classify_windows(cov: DataFrame, episodes: DataFrame) -> DataFrame:
-    """(study, entity, win_start, win_end, verdict) of windows: filled, before_launch, after_end, not_publishing, unknown.
-
-    An entity's first and last day tell a window before or after its life from
-    one inside it; without any dated episode it is unknown.
+# Fixed values of W22: junk dates lie before EARLIEST_DAY; days around a window that count as near, and behind the first episode that count as its launch; the day of rank ISOLATED_RANK over ISOLATED_DAYS behind the first marks the first as isolated.
+EARLIEST_DAY, NEAR_DAYS, LAUNCH_DAYS, ISOLATED_RANK, ISOLATED_DAYS = "1995-01-01", 92, 14, 4, 365
+_LAUNCH = (
+    r"(?i)\b(trailer|teaser|introducing|coming soon|sneak (peek|preview)|welcome to|pilot)\b"
+    r"|\b(episode|ep\.?|chapter)\s*#?0*[01]\b|^\s*#?0*1\s*[:.)\-|]|\bs0*1\s*:?\s*e0*1\b"
+)
+_NUMBER = r"(?i)\b(?:episode|ep|no)\.?\s*#?\s*(\d{1,4})\b|(?:^|\s)#(\d{1,4})\b"
+_SEASON = r"(?i)\b(?:season\s*|s)(\d{1,2})\s*[:,]?\s*(?:e|ep\b|episode\b)"
+
+
+def start_evidence(episodes: DataFrame) -> DataFrame:
+    """(entity, launch, truncated): what its first episodes say of an entity's start.
+
+    launch: one of the first two weeks is a trailer, is number 0 or 1 (of season
+    0 or 1, or none), or reads as a launch. truncated: they are numbered from
+    above 1, of a season above 1, or the fifth day is over a year behind the first.
+    """
+    e = episodes.filter(F.col("day") >= F.lit(EARLIEST_DAY).cast("date")).withColumn("first", F.min("day").over(W.partitionBy("entity")))
+    title = F.coalesce(F.col("title"), F.lit(""))
+    number = F.coalesce(F.regexp_extract(title, _NUMBER, 1).try_cast("int"), F.regexp_extract(title, _NUMBER, 2).try_cast("int"))
+    season = F.regexp_extract(title, _SEASON, 1).try_cast("int")
+    marked = (F.lower(F.coalesce("episode_type", F.lit(""))) == "trailer") | (number.isin(0, 1) & F.coalesce(season <= 1, F.lit(True))) | title.rlike(_LAUNCH)
+    early = e.filter(F.col("day") <= F.date_add("first", LAUNCH_DAYS)).groupBy("entity").agg(F.max(F.coalesce(marked, F.lit(False))).alias("launch"), (F.coalesce(F.min(number) > 1, F.lit(False)) | F.coalesce(F.min(season) > 1, F.lit(False))).alias("late"))
+    place = F.row_number().over(W.partitionBy("entity").orderBy("day", "id"))
+    apart = e.select("entity", "id", "day", "first", place.alias("n")).filter(F.col("n") == ISOLATED_RANK + 1).select("entity", (F.date_diff("day", "first") > ISOLATED_DAYS).alias("apart"))
+    return early.join(apart, "entity", "left").select("entity", "launch", (F.col("late") | F.coalesce("apart", F.lit(False))).alias("truncated"))
+
+
+def classify_windows(cov: DataFrame, episodes: DataFrame, listings: DataFrame | None = None, evidence: DataFrame | None = None) -> DataFrame:
+    """(study, entity, win_start, win_end, verdict) of windows: filled, launch, missing, not_publishing, before_launch, unknown.
+
+    By precedence: a window with episodes whose entity is known before it is
+    filled. A listing that spans a window accounts for it: filled or
+    not_publishing. The window before the first known day, or around it, is
+    missing if the feed drops items (truncated, or a listing that skips episodes
+    at hand), else launch or before_launch if the first episode is marked as a
+    start, else unknown. A later window is missing if there are episodes within
+    ``NEAR_DAYS`` on both sides, or on both sides and the feed is truncated.
+
+    listings: entity, oldest, read (days), n_items (null if unknown). evidence:
+    entity, launch, truncated, and manual where the entity's link is one made by
+    hand (such a one is never before its launch). Without them a listing covers
+    nothing and no start is marked. An entity's days are bounded by the calendar.
     """
-    life = episodes.filter("day is not null").groupBy("entity").agg(F.min("day").alias("born"), F.max("day").alias("last"))
-    j = cov.join(life, "entity", "left")
+    spark = cov.sparkSession
+    if listings is None:
+        listings = spark.createDataFrame([], "entity string, oldest date, read date, n_items long")
+    if evidence is None:
+        evidence = spark.createDataFrame([], "entity string, launch boolean, truncated boolean")
+    if "manual" not in evidence.columns:
+        evidence = evidence.withColumn("manual", F.lit(False))
+    held = episodes.filter(F.col("day") >= F.lit(EARLIEST_DAY).cast("date")).groupBy("entity").agg(F.array_sort(F.collect_set("day")).alias("days"))
+    read = listings.join(held, "entity", "left").withColumn("n_held", F.size(F.filter(F.coalesce("days", F.array().cast("array<date>")), lambda x: (x >= F.col("oldest")) & (x <= F.col("read")))))
+    read = read.withColumn("skips", F.coalesce(F.col("n_held") > F.col("n_items") * 1.1 + 2, F.lit(False)))
+    before = F.max("read").over(W.partitionBy("entity").orderBy("oldest", "read").rowsBetween(W.unboundedPreceding, -1))
+    runs = read.filter("not skips").withColumn("new", F.when(F.col("oldest") <= F.date_add(before, 1), 0).otherwise(1))
+    runs = runs.withColumn("k", F.sum("new").over(W.partitionBy("entity").orderBy("oldest", "read").rowsBetween(W.unboundedPreceding, 0)))
+    spans = runs.groupBy("entity", "k").agg(F.min("oldest").alias("oldest"), F.max("read").alias("read")).groupBy("entity").agg(F.collect_list(F.struct("oldest", "read")).alias("spans"))
+    seen = read.groupBy("entity").agg(F.min("oldest").alias("listed"), F.max("skips").alias("skips"))
+    j = cov.join(held, "entity", "left").join(spans, "entity", "left").join(seen, "entity", "left").join(evidence.groupBy("entity").agg(*[F.max(c).alias(c) for c in ("launch", "truncated", "manual")]), "entity", "left")
+    start, end, yes = F.col("win_start"), F.col("win_end"), lambda c: F.coalesce(c, F.lit(False))
+    j = j.withColumns({
+        "first": F.least(F.col("days")[0], F.col("listed")),
+        "covered": yes(F.exists("spans", lambda x: (x["oldest"] <= start) & (end <= F.date_add(x["read"], 1)))),
+        "prev": F.array_max(F.filter("days", lambda x: x < start)),
+        "next": F.array_min(F.filter("days", lambda x: x >= end)),
+    })
+    some = F.col("n_episodes") > 0
+    near = (F.date_diff(start, "prev") <= NEAR_DAYS) & (F.date_diff("next", end) <= NEAR_DAYS)
+    both = F.col("prev").isNotNull() & F.col("next").isNotNull()
     verdict = (
-        F.when(F.col("n_episodes") > 0, "filled").when(F.col("born").isNull(), "unknown").when(F.col("win_end") <= F.col("born"), "before_launch")
-        .when(F.col("win_start") > F.col("last"), "after_end").otherwise("not_publishing")
+        F.when(some & yes(F.col("first") <= start), "filled").when(F.col("first").isNull(), "unknown")
+        .when(F.col("covered"), F.when(some, "filled").otherwise("not_publishing"))
+        .when(
+            (F.col("first") >= end) | some,
+            F.when(yes(F.col("truncated")) | yes(F.col("skips")), "missing").when(yes(F.col("launch")), F.when(some, "launch").when(yes(F.col("manual")), "unknown").otherwise("before_launch")).otherwise("unknown"),
+        )
+        .when(both & (near | yes(F.col("truncated"))), "missing").otherwise("unknown")
     )
     return j.select("study", "entity", "win_start", "win_end", verdict.alias("verdict"))
 

@@ -540,7 +540,8 @@ def publishing_gaps(spark, d):
 @query(f"with {_COV}, l as (select entity, min(day) as born, max(day) as lst from ep where day is not null group by 1) select study, cov.entity, win_start, win_end, case when n_episodes > 0 then 'filled' when born is null then 'unknown' when win_end <= born then 'before_launch' when win_start > lst then 'after_end' else 'not_publishing' end as verdict from cov left join l using (entity)")
 def classify_windows(spark, d):
     """W22, A26."""
-    return catalog.classify_windows(_coverage(spark, d), dated_episodes(spark, d))
+    e = dated_episodes(spark, d)
+    return catalog.classify_windows(_coverage(spark, d), e, evidence=catalog.start_evidence(e))
 
 
 @query(f"with {_EP}, e as (select *, count(*) over (partition by podcast_id) as n, row_number() over (partition by podcast_id order by day, id) - 1 as p from ep where day is not null and podcast_id is not null) select id, podcast_id from e where n <= 5 or p in (floor(0.5 * n / 5), floor(1.5 * n / 5), floor(2.5 * n / 5), floor(3.5 * n / 5), floor(4.5 * n / 5))")

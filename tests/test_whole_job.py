@@ -54,3 +54,21 @@ def test_names_against_brute_force():
     for _ in range(500):
         t = " ".join(rnd.choice(words) for _ in range(rnd.randrange(0, 14)))
         assert text.names_in(t) == _names_by_force(t), t
+
+
+def test_verdicts_of_windows(spark):
+    """Every verdict, with its precedence; the neighbours come from the episodes at hand."""
+    d = datetime.date.fromisoformat
+    e = [("a", "2020-01-10", "Episode 1", 1), ("a", "2020-03-10", "x", 2), ("a", "2020-12-01", "x", 3), ("b", "2020-05-05", "Episode 7", 4), ("c", "2020-05-05", "x", 5), ("l", "2020-01-01", "x", 6), ("l", "2020-06-01", "x", 7), ("t", "2020-05-05", "Part", 8), ("j", "1970-01-01", "x", 9)]
+    ep = spark.createDataFrame([(i, k, d(day), t, "trailer" if k == "t" else None) for k, day, t, i in e], "id long, entity string, day date, title string, episode_type string")
+    cases = [
+        ("a", "2020-02-01", "2020-03-01", 0, "missing"), ("a", "2020-06-01", "2020-07-01", 0, "unknown"), ("a", "2020-03-01", "2020-04-01", 1, "filled"), ("a", "2019-01-01", "2019-02-01", 0, "before_launch"),
+        ("a", "2020-01-01", "2020-02-01", 1, "launch"), ("a", "2021-01-01", "2021-02-01", 0, "unknown"), ("b", "2020-01-01", "2020-02-01", 0, "missing"), ("c", "2020-01-01", "2020-02-01", 0, "unknown"),
+        ("l", "2020-02-01", "2020-03-01", 0, "not_publishing"), ("t", "2020-04-01", "2020-05-01", 0, "before_launch"), ("j", "2020-01-01", "2020-02-01", 0, "unknown"), ("z", "2020-01-01", "2020-02-01", 0, "unknown"),
+    ]
+    cov = spark.createDataFrame([("s", k, d(a), d(b), n) for k, a, b, n, _ in cases], "study string, entity string, win_start date, win_end date, n_episodes long")
+    listings = spark.createDataFrame([("l", d("2020-01-01"), d("2020-02-10"), 5), ("l", d("2020-02-11"), d("2020-06-01"), None)], "entity string, oldest date, read date, n_items long")
+    got = {(r.entity, str(r.win_start)): r.verdict for r in catalog.classify_windows(cov, ep, listings, catalog.start_evidence(ep)).collect()}
+    assert got == {(k, a): v for k, a, _, _, v in cases}
+    bare = {(r.entity, str(r.win_start)): r.verdict for r in catalog.classify_windows(cov, ep).collect()}
+    assert bare["a", "2020-02-01"] == bare["l", "2020-02-01"] == "missing" and bare["a", "2019-01-01"] == bare["b", "2020-01-01"] == "unknown"
