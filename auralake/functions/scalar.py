@@ -136,7 +136,7 @@ def bucket_key(ts: Column, window: str) -> Column:
 
 
 # Bins of days between snapshots.
-GAP_BINS = ((1, 1, "1 day"), (2, 4, "2-4 days"), (5, 9, "5-9 days"), (10, 20, "10-20 days"), (21, 40, "21-40 days"))
+GAP_BINS = ((1, 1, "1 day"), (2, 3, "2-3 days"), (4, 9, "4-9 days"), (10, 20, "10-20 days"), (21, 45, "21-45 days"), (46, 100, "46-100 days"))
 
 
 def gap_label(days: Column) -> Column:

@@ -145,19 +145,37 @@ def daily_entities(df: DataFrame, depth: int, share: float = 0.95) -> DataFrame:
     return best.join(full.select("series", "day"), ["series", "day"], "left_semi")
 
 
-def turnover(entities: DataFrame, max_gap: int = 40) -> DataFrame:
-    """Per series and bin of days between two snapshots: pairs, median Jaccard, median retention.
+# Bands of ranks whose retention is told apart.
+BANDS = ((1, 10), (11, 50), (51, 100))
 
-    Each day's entities are one array (bounded by the depth of a chart); days meet
+
+def turnover(entities: DataFrame, max_gap: int = 100) -> DataFrame:
+    """Per series and bin of days between two snapshots: pairs, and medians of Jaccard, retention, rank move and retention by band.
+
+    A pair's move is the median of its shared entities' rank moves, null below 5
+    shared; its retention of a band is the share of the earlier day's entities
+    within the band that the later day has, null where the band is empty. Each
+    day's entities are one array (bounded by the depth of a chart); days meet
     through the offsets 1..max_gap, an equi-join instead of all pairs.
     """
-    sets = entities.groupBy("series", "day").agg(F.array_sort(F.collect_set("entity")).alias("s"))
-    later = sets.select("series", F.explode(F.sequence(F.lit(1), F.lit(max_gap))).alias("days"), F.col("day").alias("later"), F.col("s").alias("s2"))
+    sets = entities.groupBy("series", "day").agg(F.map_from_entries(F.array_sort(F.collect_set(F.struct("entity", "rank")))).alias("m")).withColumn("s", F.array_sort(F.map_keys("m")))
+    later = sets.select("series", F.explode(F.sequence(F.lit(1), F.lit(max_gap))).alias("days"), F.col("day").alias("later"), F.col("s").alias("s2"), F.col("m").alias("m2"))
     later = later.withColumn("day", F.date_sub("later", F.col("days")))
     pairs = sets.join(later, ["series", "day"]).withColumn("gap", gap_label(F.col("days"))).filter("gap is not null")
-    kept = F.size(F.array_intersect("s", "s2"))
-    pairs = pairs.select("series", "gap", jaccard(F.col("s"), F.col("s2")).alias("j"), (kept / F.size("s")).alias("r"))
-    return pairs.groupBy("series", "gap").agg(F.count(F.lit(1)).alias("pairs"), F.round(F.median("j"), 6).alias("median_jaccard"), F.round(F.median("r"), 6).alias("median_retention"))
+    pairs = pairs.withColumn("both", F.array_intersect("s", "s2"))
+    moves = F.array_sort(F.transform("both", lambda k: F.abs(F.element_at("m", k) - F.element_at("m2", k)).cast("double")))
+    pairs = pairs.withColumn("moves", moves)
+    n = F.size("moves")
+    move = F.when(n >= 5, (F.element_at("moves", F.floor((n + 1) / 2).cast("int")) + F.element_at("moves", F.floor(n / 2).cast("int") + 1)) / 2)
+
+    def retained(lo: int, hi: int) -> Column:
+        within = lambda keys: F.size(F.filter(keys, lambda k: F.element_at("m", k).between(lo, hi)))
+        return F.when(within("s") > 0, within("both") / within("s"))
+
+    bands = {f"retain_{lo}_{hi}": retained(lo, hi) for lo, hi in BANDS}
+    pairs = pairs.select("series", "gap", jaccard(F.col("s"), F.col("s2")).alias("j"), (F.size("both") / F.size("s")).alias("r"), move.alias("move"), *[c.alias(b) for b, c in bands.items()])
+    medians = {"median_jaccard": "j", "median_retention": "r", "median_move": "move"} | {b: b for b in bands}
+    return pairs.groupBy("series", "gap").agg(F.count(F.lit(1)).alias("pairs"), *[F.round(F.median(c), 6).alias(b) for b, c in medians.items()])
 
 
 def month_coverage(entities: DataFrame, min_days: int = 4) -> DataFrame:

@@ -3,8 +3,9 @@
 import datetime
 import random
 import re
+from statistics import median
 
-from auralake.operators import catalog, text
+from auralake.operators import catalog, charts, text
 
 DAY = datetime.date
 
@@ -72,3 +73,27 @@ def test_verdicts_of_windows(spark):
     assert got == {(k, a): v for k, a, _, _, v in cases}
     bare = {(r.entity, str(r.win_start)): r.verdict for r in catalog.classify_windows(cov, ep).collect()}
     assert bare["a", "2020-02-01"] == bare["l", "2020-02-01"] == "missing" and bare["a", "2019-01-01"] == bare["b", "2020-01-01"] == "unknown"
+
+
+def test_turnover_to_a_hundred_days_with_moves_and_bands(spark):
+    """Against all pairs of days, by the bins and bands written out."""
+    rnd = random.Random(5)
+    days = [0, 1, 4, 30, 44, 60, 99, 160]
+    ranks = {t: dict(zip(rnd.sample(range(90), 60), range(1, 61))) for t in days}
+    origin = datetime.date(2020, 1, 1)
+    df = spark.createDataFrame([("s", origin + datetime.timedelta(t), k, r) for t, m in ranks.items() for k, r in m.items()], "series string, day date, entity long, rank int")
+    want = {}
+    for a in days:
+        for b in days:
+            for lo, hi in ((1, 1), (2, 3), (4, 9), (10, 20), (21, 45), (46, 100)):
+                if lo <= b - a <= hi:
+                    x, y = ranks[a], ranks[b]
+                    both = x.keys() & y.keys()
+                    part = [(k := [e for e, r in x.items() if p <= r <= q]) and sum(e in y for e in k) / len(k) for p, q in ((1, 10), (11, 50), (51, 100))]
+                    want.setdefault(lo, []).append([len(both) / len(x.keys() | y.keys()), len(both) / len(x), median(abs(x[e] - y[e]) for e in both), *part])
+    got = {int(re.match(r"\d+", r.gap)[0]): r for r in charts.turnover(df).collect()}
+    assert set(got) == set(want) and 46 in got
+    for lo, rows in want.items():
+        r = got[lo]
+        assert r.pairs == len(rows)
+        assert [r.median_jaccard, r.median_retention, r.median_move, r.retain_1_10, r.retain_11_50, r.retain_51_100] == [round(median(c), 6) for c in zip(*rows)]
