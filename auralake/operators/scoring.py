@@ -83,7 +83,7 @@ def auroc(df: DataFrame, score: str, positive: Column, hot_rows: int = HOT_ROWS)
     return agg.select("positives", "negatives", F.when((F.col("positives") > 0) & (F.col("negatives") > 0), F.col("wins") / (F.col("positives") * F.col("negatives"))).alias("auroc"))
 
 
-def paired_bootstrap(items: DataFrame, ident: str, iterations: int = 200, seed: int = 0) -> DataFrame:
+def paired_bootstrap(items: DataFrame, ident: str, iterations: int = 2000, seed: int = 0) -> DataFrame:
     """(n, delta, low, high, share_positive) of pooled F1 of run b minus run a over paired items.
 
     Poisson bootstrap: in each replicate an item counts as often as a hash of

@@ -216,7 +216,10 @@ _BEST = _R + ", b0 as (select series, day, entity, min(rank) as rank from r wher
 
 
 def best_ranks(spark, d):
-    return charts.daily_entities(ranked(spark, d), DEPTH, 0.6)
+    """Ranks among a day's distinct entities, each by its best; of days that have at least 0.95 of the depth."""
+    r = ranked(spark, d).groupBy("series", "day", "entity").agg(F.min("rank").alias("best"))
+    r = r.withColumn("rank", F.row_number().over(W.partitionBy("series", "day").orderBy("best"))).drop("best")
+    return charts.daily_entities(r, DEPTH)
 
 
 @query(f"with {_R} select series, count(*) as n_rows, count(distinct day) as days, count(distinct entity) as entities, min(day) as first_day, max(day) as last_day, max(rank) as deepest from r group by 1")
@@ -838,7 +841,7 @@ def genre_slugs(spark, d):
 @query("select distinct id, case when length(t) > 60 then left(t, 57) || '...' else t end as short from (select id, trim(regexp_replace(regexp_replace(description, '<[^>]+>', ' ', 'g'), '[\\s\\x0B]+', ' ', 'g')) as t from episodes where description is not null)")
 def clean_descriptions(spark, d):
     """S21."""
-    return read(spark, d, "episodes").filter("description is not null").select("id", fn.clean_html("description", 60).alias("short")).distinct()
+    return read(spark, d, "episodes").filter("description is not null").select("id", fn.clean_html("description").alias("short")).distinct()
 
 
 @query("select date_trunc('minute', ts) as bucket, event_type, count(*) as n, sum(value) as total from events group by all")

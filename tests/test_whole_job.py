@@ -1,11 +1,13 @@
 """Results that were once cut short: each case is lost or wrong under the narrower rule."""
 
 import datetime
+import inspect
 import random
 import re
 from statistics import median
 
-from auralake.operators import catalog, charts, text
+from auralake.operators import catalog, charts, scoring, text
+from auralake.plans import reference
 
 DAY = datetime.date
 
@@ -97,3 +99,19 @@ def test_turnover_to_a_hundred_days_with_moves_and_bands(spark):
         r = got[lo]
         assert r.pairs == len(rows)
         assert [r.median_jaccard, r.median_retention, r.median_move, r.retain_1_10, r.retain_11_50, r.retain_51_100] == [round(median(c), 6) for c in zip(*rows)]
+
+
+def test_settings_are_those_of_the_reference(spark, tmp_path):
+    """2,000 replicates, descriptions up to 1,000 characters, days with at least 0.95 of the depth in distinct entities."""
+    assert inspect.signature(scoring.paired_bootstrap).parameters["iterations"].default == 2000
+    spark.createDataFrame([(1, "x" * 1000), (2, "y" * 1001)], "id long, description string").write.parquet(f"{tmp_path}/episodes.parquet")
+    short = {r.id: r.short for r in reference.clean_descriptions(spark, str(tmp_path)).collect()}
+    assert short == {1: "x" * 1000, 2: "y" * 997 + "..."}
+    noon = datetime.datetime(2024, 1, 1, 12)
+    rows = [(day, n, k) for day, n in ((0, 47), (1, 48), (2, 60)) for k in range(n) for _ in range(2)]
+    events = [(i, "click", noon + datetime.timedelta(days=day), k, float(k)) for i, (day, n, k) in enumerate(rows)]
+    spark.createDataFrame(events, "event_id long, event_type string, ts timestamp, user_id long, value double").write.parquet(f"{tmp_path}/events.parquet")
+    got = {}
+    for r in reference.daily_entities(spark, str(tmp_path)).collect():
+        got.setdefault(r.day.day, []).append((r.rank, r.entity))
+    assert {k: sorted(v) for k, v in got.items()} == {2: [(i + 1, 47 - i) for i in range(48)], 3: [(i + 1, 59 - i) for i in range(50)]}
