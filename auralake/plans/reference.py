@@ -530,7 +530,7 @@ def rerun_of_earlier(spark, d):
 
 @query(f"with {_EP}, e as (select id, podcast_id, day, {_KEY.format('title')} as key from ep) select podcast_id, day, key, min(id) as id, count(*) as copies from e group by podcast_id, day, key, case when day is null or key is null then id end")
 def day_copies(spark, d):
-    """W19, F1."""
+    """F1, and of W19 the same-day rule only."""
     return catalog.day_copies(dated_episodes(spark, d))
 
 
@@ -561,7 +561,7 @@ def weekly_captures(spark, d):
 
 @query("with p as (select distinct id, podchaser_id, title from podcasts), t as (select regexp_replace(lower(title), '[^a-z0-9]+', '', 'g') as k, id from p where title is not null), u as (select k, min(id) as podcast_id from t group by 1 having count(distinct id) = 1) select distinct r.result_id, u.podcast_id from search_results r left join u on u.k = nullif(regexp_replace(lower(case when json_valid(record) then record->>'collectionName' end), '[^a-z0-9]+', '', 'g'), '')")
 def unique_title_lookup(spark, d):
-    """J23, Z14, J22."""
+    """J23, Z14."""
     idx = read(spark, d, "podcasts").select(fn.title_key("title").alias("k"), F.col("id").alias("podcast_id"))
     r = read(spark, d, "search_results").select("result_id", fn.title_key(F.get_json_object("record", "$.collectionName")).alias("k"))
     return catalog.unique_key_lookup(r, idx, "k", "podcast_id").select("result_id", "podcast_id").distinct()
@@ -620,7 +620,7 @@ def _spans(spark, d):
 
 @query(f"with {_AU}, m as (select *, max(e) over (partition by episode_id, span_kind order by s, e rows between unbounded preceding and 1 preceding) as b from ok), i as (select *, sum(case when b is null or s > b + 500 then 1 else 0 end) over (partition by episode_id, span_kind order by s, e) as island from m) select episode_id, span_kind, s, e, island from i")
 def interval_islands(spark, d):
-    """Spans at most half a second apart."""
+    """Spans at most half a second apart."""
     return intervals.islands(_spans(spark, d), ["episode_id", "span_kind"], "s", "e", gap=500).select("episode_id", "span_kind", "s", "e", "island")
 
 
@@ -656,7 +656,7 @@ def sample_per_source(spark, d):
 
 @query(f"with x as (select doc_id, source, {_SC.format('s3', 'doc_id')} as score from documents), y as (select *, row_number() over (partition by source order by score, doc_id) as n from x) select doc_id, source from y where n <= 5 order by score, doc_id limit 40")
 def sample_with_caps(spark, d):
-    """A sampling operator."""
+    """A sampling operator."""
     return sampling.with_caps(read(spark, d, "documents").select("doc_id", "source"), 40, 5, "source", "s3", "doc_id").select("doc_id", "source")
 
 
