@@ -2,12 +2,13 @@
 
 A line break always ends a sentence. Inside a line, quotations and brackets are
 paired first; a terminator inside a pair ends nothing unless the pair closes
-right behind it. What remains are terminators and gaps (blanks). In spaced
-scripts every terminator is a node of a small lattice of readings (end,
-abbreviation, initial, ordinal, decimal, address, ellipsis), resolved by what
-stands before and behind. In spaceless scripts words come from a dictionary
-lattice around a gap; final particles before it and opening words behind it
-classify the gap. Each document is read on its own, whole: no shuffle.
+right behind it. What remains are terminators and gaps. In spaced scripts every
+terminator is a node of a small lattice of readings (end, abbreviation, initial,
+ordinal, decimal, address, ellipsis), resolved by what stands before and behind.
+Stretches of a spaceless script are read into words by a lattice over a
+dictionary that comes from the corpus (see ``words``); a gap, with a blank or
+without, is classified by the closing particle before it and the opening word
+behind it. Each document is read on its own, whole.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ from functools import lru_cache
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from auralake.llm.words import RUN, SPACELESS, Lattice, corpus_dictionary
+
 # ---- fixed values: words and characters -------------------------------------------------------------
 #: Never end a sentence: titles and words that lead to what follows.
 LEADING = frozenset(
@@ -30,6 +33,7 @@ LEADING = frozenset(
 NUMBERING = frozenset("no nos nr nrn fig figs sec secs p pp pag pág págs cap caps kap abb s art arts ext chap n vol ch par tab tbl eq op núm num d д стр с гл рис п αρ σελ κεφ सं रु n.º n.° º ° nº n° bd ziff tel".split())
 #: May end a sentence: then a capital follows.
 CLOSING = frozenset("etc inc ltd co corp llc plc jr sr bros al a.m p.m u.s u.k u.n m.d ph.d b.a m.a d.c usw usf uu руб коп г гг т.д т.п κ.ά κ.λπ min std str".split())
+_ARTICLES = frozenset("el al del la o ao do da os los y e".split())
 MONTHS = frozenset("januar jänner februar märz april mai juni juli august september oktober november dezember".split())
 AFTER_ORDINAL = MONTHS | frozenset("jahrhundert jahrhunderts jahrhunderte staffel folge mal platz klasse stock auflage kapitel jahrestag geburtstag tag woche runde liga bezirk weltkrieg stunde minute etage reihe".split())
 BEFORE_ORDINAL = frozenset("am im der die das dem den des vom zum zur beim ab bis seit jeder jede jedes ihre ihr seine sein unsere".split())
@@ -43,23 +47,18 @@ CHUNK = 2000
 _BREAK = re.compile(r"\r\n|[\n\r\v\f\x85  ]")
 _ITEM = re.compile(r"(?:[•◦▪‣⁃*–—-]|\d{1,3}[.)]|[a-zA-Z][)])\s+\S")
 _CLOCK = re.compile(r"\[?\(?\d{1,2}:\d{2}(?::\d{2})?\)?\]?(?:\s|$)")
-_TERM = ".!?…।॥؟۔。！？｡;\u037e"
-_TOKEN = re.compile(r"[.!?…।॥؟۔。！？｡]+|[;\u037e]|[“”„‟«»‹›「」『』（）《》〈〉【】()\[\]\"]|(?<=[฀-๿])\s+(?=\S)|(?<=[぀-ヿ㐀-鿿])\s+(?=\S)")
+_TERM = ".!?…।॥؟۔。！？｡។៕။།;\u037e"
+_TOKEN = re.compile(rf"[.!?…।॥؟۔。！？｡។៕။།]+|[;\u037e]|[“”„‟«»‹›「」『』（）《》〈〉【】()\[\]\"]|(?<=[{SPACELESS}])\s+(?=\S)|(?P<run>[{SPACELESS}]{{4,}})")
 _PAIRS = {"“": "”", "„": "“”", "‟": "”", "«": "»", "‹": "›", "「": "」", "『": "』", "（": "）", "《": "》", "〈": "〉", "【": "】", "(": ")", "[": "]"}
 _CLOSERS = frozenset("”“»›」』）》〉】)]\"’'")
 _QUOTES = frozenset("“”„‟«»‹›「」『』\"")
-_ENDS_ALWAYS = frozenset("।॥۔。！？｡؟")
+_ENDS_ALWAYS = frozenset("।॥۔。！？｡؟។៕။།")
 _OPENING = frozenset("“„‟«‹「『《【(（[\"'‘¿¡")
 _WORD_BEFORE = re.compile(r"[^\s“„«(\[\"'‘—–…/]*$")
 _NEXT_WORD = re.compile(r"[^\s.,;:!?…।)\]”»\"“]+")
 _CLAUSE_END = re.compile(r"[.!?।؟。！？“「«\"]")
 _SPEECH = re.compile(r"(?:[A-ZÀ-ÞΑ-ΩА-Я][\w'’-]*\s+){1,3}(\w+)")
 
-#: Small dictionary of the spaceless scripts: (word, role); final particles and endings, opening words.
-FINALS = ("です", "ます", "ました", "ません", "でした", "でしょう", "だ", "た", "ね", "よ", "か", "わ", "ぞ", "さ", "吗", "吧", "呢", "啊", "了", "呀", "嘛", "ครับ", "ค่ะ", "คะ", "นะ", "ล่ะ", "จ้ะ", "มาก", "แล้ว", "ไหม", "บาท", "ฉบับ", "เท่า")
-OPENERS = ("そして", "しかし", "でも", "だから", "また", "次に", "今日", "今週", "本当", "どうして", "彼", "私", "第", "但是", "所以", "今天", "本周", "为什么", "他", "她", "我", "谢谢", "第", "真", "ทำไม", "แล้ว", "วันนี้", "ขอบคุณ", "แต่", "และ", "เพราะ")
-
-
 def _is_emoji(ch: str) -> bool:
     return unicodedata.category(ch) in ("So", "Sk") or ch in "️‍" or "\U0001f000" <= ch <= "\U0001faff"
 
@@ -68,40 +67,23 @@ def _caseless(ch: str) -> bool:
     return ch.isalpha() and not ch.isupper() and not ch.islower()
 
 
-@lru_cache(maxsize=1)
-def _dictionary() -> dict[str, str]:
-    return {**{w: "final" for w in FINALS}, **{w: "opener" for w in OPENERS if w not in FINALS}, "แล้ว": "both"}
-
-
-def _lattice(s: str, reverse: bool = False) -> str | None:
-    """The role of the last (first) word on the cheapest path through the words and single characters of ``s``."""
-    words, n = _dictionary(), len(s)
-    best: list[tuple[float, int, str | None]] = [(0.0, 0, None)] + [(9e9, 0, None)] * n
-    for i in range(n):
-        for j in range(i + 1, min(n, i + 6) + 1):
-            role = words.get(s[i:j])
-            if role is None and j > i + 1:
-                continue
-            cost = best[i][0] + (0.5 if role else 1.0)
-            if cost < best[j][0]:
-                best[j] = (cost, i, role)
-    if reverse:  # first word: walk back to the start
-        j, role = n, None
-        while j > 0:
-            _, i, role = best[j]
-            j = i
-        return role
-    return best[n][2] if n else None
-
-
-def _gap(line: str, s: int, e: int) -> bool:
-    """Does the blank line[s:e] part two sentences of a spaceless script?"""
+def _gap(line: str, s: int, e: int, lattice: Lattice) -> bool:
+    """Does the blank line[s:e] behind a spaceless script part two sentences?
+
+    In Thai it does, but before a mark of repetition or abbreviation. Elsewhere
+    the word before it must be a closing particle or the one behind an opening
+    word of a spaceless script, by the lattices of the stretches on both sides.
+    """
     left, right = line[s - 1], line[e]
     if "฀" <= left <= "๿":
-        return right not in "ๆฯ"  # a Thai blank parts sentences
-    if not ("぀" <= right <= "ヿ" or "㐀" <= right <= "鿿" or right in _OPENING):
-        return False
-    return _lattice(line[max(0, s - 8) : s]) in ("final", "both") or _lattice(line[e : e + 8], reverse=True) in ("opener", "both")
+        return right not in "ๆฯ"
+    k = s
+    while k > 0 and RUN.match(line[k - 1]):
+        k -= 1
+    behind = RUN.match(line, e)
+    if behind is None:
+        return right in _OPENING and lattice.closes(line[k:s])
+    return lattice.closes(line[k:s]) or lattice.opens(behind.group())
 
 
 def _pair_up(line: str, tokens: list[re.Match]) -> dict[int, int]:
@@ -198,6 +180,8 @@ def _period(line: str, start: int, s: int, e: int) -> bool:
         return False
     if nxt.isdigit() and (bare in NUMBERING or bare.endswith("str")):
         return False
+    if bare == "sr" and (not (before := line[start : s - len(word)].split()) or not before[-1][:1].isupper() or before[-1].lower() in _ARTICLES):
+        return False  # a title, but not behind a name
     if bare in CLOSING:
         return not nxt.isdigit() or bare in ("etc", "inc", "a.m", "p.m", "u.s")
     if "." in bare:
@@ -283,18 +267,27 @@ def _quote_ends(line: str, start: int, qs: int, e: int) -> bool:
     return True
 
 
-def sentences(text: str) -> list[tuple[int, int]]:
-    """Half-open code-point offsets of the sentences of a text, without blanks around them."""
+@lru_cache(maxsize=1)
+def _given() -> Lattice:
+    return Lattice()
+
+
+def sentences(text: str, lattice: Lattice | None = None) -> list[tuple[int, int]]:
+    """Half-open code-point offsets of the sentences of a text, without blanks around them.
+
+    Without a lattice that of the given particles and opening words is used.
+    """
+    lattice = lattice or _given()
     out: list[tuple[int, int]] = []
     at = 0
     for br in _BREAK.finditer(text):
-        _line(text[at : br.start()], at, out)
+        _line(text[at : br.start()], at, out, lattice)
         at = br.end()
-    _line(text[at:], at, out)
+    _line(text[at:], at, out, lattice)
     return out
 
 
-def _line(line: str, offset: int, out: list[tuple[int, int]]) -> None:
+def _line(line: str, offset: int, out: list[tuple[int, int]], lattice: Lattice) -> None:
     body = line.strip()
     if not body:
         return
@@ -325,10 +318,15 @@ def _line(line: str, offset: int, out: list[tuple[int, int]]) -> None:
         if s in pairs:
             depth_end = max(depth_end, pairs[s])
             continue
+        if m.lastgroup == "run":
+            if s > depth_end:
+                for at in lattice.seams(m.group()):
+                    cut(s + at)
+            continue
         if ch not in _TERM and not ch.isspace():
             continue
         if ch.isspace():
-            if s > depth_end and s > start and _gap(line, s, e):
+            if s > depth_end and s > start and _gap(line, s, e, lattice):
                 cut(s)
             continue
         if s > depth_end:
@@ -358,25 +356,29 @@ def _line(line: str, offset: int, out: list[tuple[int, int]]) -> None:
     out.extend((offset + a, offset + b - (len(line[a:b]) - len(line[a:b].rstrip()))) for a, b in cuts if line[a:b].strip())
 
 
-def _batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        docs, texts = pdf["doc_id"].tolist(), pdf["text"].tolist()
-        for at in range(0, len(docs), CHUNK):  # so that few results are held at once
-            ids, starts, ends = [], [], []
-            for doc, text in zip(docs[at : at + CHUNK], texts[at : at + CHUNK]):
-                if isinstance(text, str):
-                    for a, b in sentences(text):
-                        ids.append(doc)
-                        starts.append(a)
-                        ends.append(b)
-            yield pd.DataFrame({"doc_id": ids, "char_start": starts, "char_end": ends})
-
-
 def split_sentences(documents: DataFrame) -> DataFrame:
     """(doc_id, char_start, char_end) of every sentence; a document of null, empty or blank text has none.
 
-    Every row is read on its own, so repeated documents give repeated sentences.
-    Other columns are ignored; an empty table gives an empty result.
+    The dictionary of the spaceless scripts comes from all documents (at most
+    ``words.MAX_WORDS`` words, broadcast). Every row is then read on its own, so
+    repeated documents give repeated sentences. Other columns are ignored; an
+    empty table gives an empty result.
     """
     rows = documents.selectExpr("cast(doc_id as long) doc_id", "text")
-    return rows.mapInPandas(_batches, "doc_id long, char_start long, char_end long")
+    shared = documents.sparkSession.sparkContext.broadcast(corpus_dictionary(rows))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        lattice = Lattice(shared.value)
+        for pdf in batches:
+            docs, texts = pdf["doc_id"].tolist(), pdf["text"].tolist()
+            for at in range(0, len(docs), CHUNK):  # so that few results are held at once
+                ids, starts, ends = [], [], []
+                for doc, text in zip(docs[at : at + CHUNK], texts[at : at + CHUNK]):
+                    if isinstance(text, str):
+                        for a, b in sentences(text, lattice):
+                            ids.append(doc)
+                            starts.append(a)
+                            ends.append(b)
+                yield pd.DataFrame({"doc_id": ids, "char_start": starts, "char_end": ends})
+
+    return rows.mapInPandas(run, "doc_id long, char_start long, char_end long")
