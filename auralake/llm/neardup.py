@@ -1,15 +1,21 @@
 """Problem 3: records of one recording among episodes with small edits.
 
 A title is read into its content words (decorations, the show's own title,
-episode and part numbers taken off). The words are a sparse binary vector whose
-dimensions are laid on a ring of 16 segments. Pigeonring: records whose vectors
-differ in at most TAU places share a start segment from which every chain of
-consecutive segments stays within its proportional budget. Candidates share a
-dimension that is set within a window of publication (at this budget an equal
-empty segment would select nothing); the chain filter and then the full Hamming
-check are bit operations of the JVM; the words of what is left are compared
-exactly. Exact copies are one class throughout and only expanded at the
-end, and only where pairs are asked for.
+episode and part numbers taken off). Two titles are alike if the longer holds at
+least LEAST of the words of the shorter, up to an edit each.
+
+Candidates: of the shorter title at most a quarter of the words may be missing, so
+of its rarest words, that many and one more, at least one is in the longer. These
+are looked up in an index of all words, together with a band of publication and a
+band of duration; words an edit apart come from a join on the vocabulary. Keys
+that stay hot are split. Words are places on a ring of 16 segments of 4 bits, an
+edit apart on the same place where one spelling is the common one. Pigeonring: if
+at most tau places of the shorter are missing in the longer, there is a start
+segment from which every chain of l segments misses at most l * tau / 16; what has
+no such start is pruned before the full Hamming check. tau follows from the number
+of words, so no alike pair is lost. The words of what is left are compared exactly.
+Exact copies are one class throughout and only expanded at the end, and only where
+pairs are asked for.
 """
 
 from __future__ import annotations
@@ -26,11 +32,15 @@ from pyspark.sql import functions as F
 from auralake.operators.timestamps import parse_instants
 from auralake.session import broadcast_if_small, written
 
-#: Days between publications, share of the longer duration, places that may differ (a replaced word is two).
-DAYS, SHARE, TAU = 3, 0.01, 10
+#: Days between publications, share of the longer duration.
+DAYS, SHARE = 3, 0.01
 SEGMENTS, WIDTH = 16, 4
 #: Longest chain that is tested (longer chains prune little more).
 CHAIN = 6
+#: Width of the bands of publication (days) and of the logarithm of durations in the index.
+TIME_BAND, LENGTH_BAND = 12, 0.1
+#: A key of the index with more records is split.
+HOT_KEY = 20_000
 #: Share of the shorter title's content words that must be found again, up to an edit each.
 LEAST = 0.75
 
@@ -46,7 +56,8 @@ _WORD = re.compile(r"[^\W\d_]+")
 
 def fold(s: str) -> str:
     """Lower case without accents, blanks collapsed."""
-    s = "".join(c for c in unicodedata.normalize("NFKD", s) if not unicodedata.combining(c))
+    if not s.isascii():
+        s = "".join(c for c in unicodedata.normalize("NFKD", s) if not unicodedata.combining(c))
     return " ".join(s.casefold().split())
 
 
@@ -145,41 +156,74 @@ def alike(a: list[str], b: list[str], cut_a: bool, cut_b: bool) -> float:
     return hit / max(1, total)
 
 
-_READ = "words array<string>, number int, part int, cut boolean, bits long, segs array<long>"
-
-
-def _vector(words: list[str]) -> tuple[int, list[int]]:
-    """The ring as 64 bits (16 segments of 4) and the dimensions that are set (a hash per word)."""
-    import xxhash
-
-    hashes = sorted({xxhash.xxh64_intdigest(w) for w in words})
-    bits = 0
-    for h in hashes:
-        bits ^= 1 << (h % SEGMENTS * WIDTH + (h >> 8) % WIDTH)
-    sign = lambda v: v - (1 << 64) if v >> 63 else v
-    return sign(bits), [sign(h) for h in hashes]
+_READ = "words array<string>, number int, part int, cut boolean"
 
 
 def _read_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         rows = []
-        for title, show in zip(pdf["title"], pdf["show"]):
-            words, number, part, cut_off = read_title(title, show if isinstance(show, str) else None) if isinstance(title, str) else ([], None, None, False)
-            rows.append((words, number, part, cut_off, *_vector(words)))
-        read = pd.DataFrame(rows, columns=["words", "number", "part", "cut", "bits", "segs"]).astype({"number": "Int32", "part": "Int32"})
+        for title, show in zip(pdf["title"].tolist(), pdf["show"].tolist()):
+            rows.append(read_title(title, show if isinstance(show, str) else None) if isinstance(title, str) else ([], None, None, False))
+        read = pd.DataFrame(rows, columns=["words", "number", "part", "cut"]).astype({"number": "Int32", "part": "Int32"})
         yield pd.concat([pdf[["id", "utc", "duration"]].reset_index(drop=True).astype({"utc": "Int64", "duration": "Int32"}), read], axis=1)
 
 
-def _viable(x: Column, tau: int) -> Column:
-    """Pigeonring: is there a start segment whose chains of 1..CHAIN segments differ in at most l * tau / m places?"""
-    found = F.lit(False)
+def _viable(x: str, tau: str) -> str:
+    """Pigeonring: is there a start segment whose chains of 1..CHAIN segments miss at most l * tau / m places?"""
+    starts = []
     for i in range(SEGMENTS):
-        turn = x if i == 0 else F.shiftrightunsigned(x, WIDTH * i).bitwiseOR(F.shiftleft(x, 64 - WIDTH * i))
-        chain = F.lit(True)
-        for n in range(1, CHAIN + 1):
-            chain = chain & (F.bit_count(turn.bitwiseAND(F.lit((1 << (WIDTH * n)) - 1))) <= n * tau // SEGMENTS)
-        found = found | chain
-    return found
+        turn = x if i == 0 else f"(shiftrightunsigned({x}, {WIDTH * i}) | shiftleft({x}, {64 - WIDTH * i}))"
+        starts.append(" and ".join(f"bit_count({turn} & {(1 << (WIDTH * n)) - 1}L) * {SEGMENTS} <= {n} * {tau}" for n in range(1, CHAIN + 1)))
+    return " or ".join(f"({x})" for x in starts)
+
+
+#: Words up to this length are found by leaving a letter out, longer ones by their ends.
+_SHORT = 60
+#: Marks the last word of a cut-off title.
+_OPEN = "\x01"
+
+
+def vocabulary(titles: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(word, score, place, loose) and (word, other) of the words of ``titles`` (columns words, cut).
+
+    ``other`` are the words that may stand for a word in another title: those an
+    edit apart, and cut-off words that begin it (marked). ``score`` counts the
+    records that hold the word or one of these. ``place`` is the common spelling
+    among the words an edit apart; a word is loose if one of these has another.
+    Both are of the size of the vocabulary, not of the records.
+    """
+    c = F.col
+    ends = F.when(c("cut") & (F.size("words") > 0), F.array(F.concat(F.element_at("words", -1), F.lit(_OPEN)))).otherwise(F.array().cast("array<string>"))
+    vocab = written(titles.select(F.explode(F.concat("words", ends)).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("df")), "vocabulary")
+    plain = vocab.filter(~c("word").endswith(_OPEN)).withColumn("n", F.length("word"))
+    without = lambda i: F.concat(F.substring(c("word"), F.lit(1), i - 1), F.substring(c("word"), i + 1, c("n")))
+    shorter = F.when(c("n").between(3, _SHORT + 1), F.transform(F.sequence(F.lit(1), F.least(c("n"), F.lit(_SHORT + 1))), without)).otherwise(F.array().cast("array<string>"))
+    halves = F.when(c("n") >= _SHORT, F.array(F.concat(F.lit("<"), F.substring("word", 1, _SHORT // 2 - 1)), F.concat(F.lit(">"), F.expr(f"right(word, {_SHORT // 2 - 1})")))).otherwise(F.array().cast("array<string>"))
+    keyed = plain.filter("n >= 3").select("word", "n", "df", F.explode(F.array_distinct(F.concat(F.array(F.when(c("n") <= _SHORT + 1, c("word")).otherwise(F.lit("<"))), shorter, halves))).alias("v")).filter("v <> '<'")
+    x, y = keyed.select("word", "n", "v"), keyed.select(c("word").alias("other"), c("n").alias("m"), c("df").alias("other_df"), "v")
+    near_ = x.join(y, "v").filter((c("word") != c("other")) & (F.abs(c("n") - c("m")) <= 1) & (F.levenshtein("word", "other", 2) >= 0)).select("word", "other", "other_df").distinct()
+    near_ = written(near_, "spellings")
+
+    open_ = vocab.filter(c("word").endswith(_OPEN)).select(c("word").alias("other"), F.expr("left(word, length(word) - 1)").alias("begin"), c("df").alias("other_df"))
+    heads = plain.select("word", F.explode(F.transform(F.sequence(F.lit(1), F.least(c("n"), F.lit(_SHORT))), lambda i: F.substring(c("word"), F.lit(1), i))).alias("v"))
+    begun = heads.join(open_.withColumn("v", F.substring("begin", 1, _SHORT)), "v").filter(c("word").startswith(c("begin")))
+    begun = written(begun.select("word", "other", "other_df", "begin"), "beginnings")
+    completes = begun.select(c("other").alias("word"), c("word").alias("other")).join(plain.select(c("word").alias("other"), c("df").alias("other_df")), "other").select("word", "other", "other_df")
+
+    best = plain.select("word", F.struct("df", "word").alias("b")).unionByName(near_.select("word", F.struct(c("other_df").alias("df"), c("other").alias("word")).alias("b")))
+    place = best.groupBy("word").agg(F.max("b").alias("b")).select("word", F.xxhash64("b.word").alias("place"))
+    loose = near_.join(place, "word").join(place.select(c("word").alias("other"), c("place").alias("other_place")), "other").filter("place <> other_place").select("word").distinct().withColumn("loose", F.lit(1))
+    stands = near_.unionByName(begun.drop("begin")).unionByName(completes)
+    more = stands.groupBy("word").agg(F.sum("other_df").alias("more"))
+    scores = vocab.join(more, "word", "left").join(place, "word", "left").join(loose, "word", "left")
+    scores = scores.select("word", (c("df") + F.coalesce("more", F.lit(0))).alias("score"), "place", F.coalesce("loose", F.lit(0)).alias("loose"))
+    return written(scores, "scores"), written(stands.select("word", "other"), "stands")
+
+
+def _lookups(n: Column, cut: Column) -> Column:
+    """How many words of a title must be looked up so that one of them is in any longer title that is alike."""
+    need = lambda k: F.ceil(F.lit(LEAST) * k)
+    return F.when(cut & (n >= 2), F.greatest(n - need(n) + 1, (n - 1) - need(n - 1) + 1)).otherwise(n - need(n) + 1)
 
 
 def _verify_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -189,7 +233,7 @@ def _verify_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def dated_titles(episodes: DataFrame, podcasts: DataFrame, hosts: DataFrame) -> DataFrame:
-    """(id, utc, duration, words, number, part, cut, bits, segs), one row per episode id; unknown durations are null."""
+    """(id, utc, duration, words, number, part, cut), one row per episode id; unknown durations are null."""
     e = episodes.filter("id is not null").groupBy("id").agg(F.min(F.struct("podcast_id", "title", "duration_seconds", "published_date", "feed_host")).alias("e")).select("id", "e.*")
     zones = broadcast_if_small(hosts.groupBy("feed_host").agg(F.min("time_zone").alias("zone")))
     shows = broadcast_if_small(podcasts.filter("id is not null").groupBy(F.col("id").alias("podcast_id")).agg(F.max("title").alias("show")), 100_000)
@@ -199,7 +243,7 @@ def dated_titles(episodes: DataFrame, podcasts: DataFrame, hosts: DataFrame) ->
     return e.mapInPandas(_read_batches, f"id long, utc long, duration int, {_READ}")
 
 
-def recordings(episodes: DataFrame, podcasts: DataFrame, hosts: DataFrame, tau: int = TAU) -> tuple[DataFrame, DataFrame]:
+def recordings(episodes: DataFrame, podcasts: DataFrame, hosts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(members, links): every episode with its class of exact copies, and the links between classes.
 
     members: id, rep (the least id of the class; a class has the same words,
@@ -208,46 +252,91 @@ def recordings(episodes: DataFrame, podcasts: DataFrame, hosts: DataFrame, tau:
     Null titles, dates that name no instant, and empty tables give no links.
     Columns beyond those read are ignored.
     """
+    c = F.col
     read = written(dated_titles(episodes, podcasts, hosts), "titles")
-    tail = F.when(F.col("cut"), F.element_at("words", -1)).otherwise(F.lit(""))
-    same = F.md5(F.to_json(F.struct(F.array_sort("words").alias("w"), tail.alias("t"), "number", "part", "cut", "utc", "duration"), {"ignoreNullFields": "false"}))
-    linkable = F.col("utc").isNotNull() & (F.size("words") > 0)
-    read = read.withColumn("key", F.when(linkable, same).otherwise(F.concat(F.lit("single-"), F.col("id").cast("string")))).withColumn("dated", linkable)
-    reps = written(
-        read.groupBy("key").agg(F.min("id").alias("rep"), F.min(F.struct("id", "words", "number", "part", "cut", "utc", "duration", "bits", "segs")).alias("r"), F.first("dated").alias("dated"))
-        .select("key", "rep", "dated", "r.words", "r.number", "r.part", "r.cut", "r.utc", "r.duration", "r.bits", "r.segs"),
-        "classes",
-    )
+    tail = F.when(c("cut"), F.element_at("words", -1)).otherwise(F.lit(""))
+    linkable = c("utc").isNotNull() & (F.size("words") > 0)
+    same = F.md5(F.concat_ws("\x02", F.array_join(F.array_sort("words"), " "), tail, *[F.coalesce(c(x).cast("string"), F.lit("")) for x in ("number", "part", "cut", "utc", "duration")]))
+    read = read.withColumn("key", F.when(linkable, same).otherwise(F.concat(F.lit("single-"), c("id").cast("string")))).withColumn("dated", linkable)
+    scores, stands = vocabulary(read.filter("dated").select("words", "cut"))
+
+    # one row per class: its rarest words to look up, and its ring
+    one = read.groupBy("key").agg(F.min("id").alias("rep"), F.min_by(F.struct("words", "number", "part", "cut", "utc", "duration", "dated"), "id").alias("r")).select("key", "rep", "r.*")
+    word = one.filter("dated").select("key", "words", "cut", F.explode(F.array_distinct("words")).alias("word")).withColumn("times", F.size(F.filter("words", lambda w: w == c("word")))).withColumn("last", c("cut") & (F.element_at("words", -1) == c("word")))
+    word = word.drop("words", "cut").join(broadcast_if_small(scores), "word")
+    item = F.struct((c("last") & (c("times") == 1)).alias("avoid"), "score", "word", "times")
+    rings = word.groupBy("key").agg(F.array_sort(F.collect_list(item)).alias("items"), F.bit_or(F.expr("shiftleft(1L, cast(pmod(place, 64) as int))")).alias("bits"), F.sum(c("loose") * c("times")).alias("loose"))
+    n = F.size("words")
+    upto = F.aggregate("items", F.struct(F.lit(0).cast("long").alias("sum"), F.array().cast("array<string>").alias("w")), lambda acc, x: F.struct(
+        (acc["sum"] + F.greatest(x["times"], F.lit(1))).cast("long").alias("sum"), F.when(acc["sum"] < c("lookups"), F.concat(acc["w"], F.array(x["word"]))).otherwise(acc["w"]).alias("w")))["w"]
+    reps = one.join(rings, "key", "left").withColumn("lookups", _lookups(n, c("cut"))).withColumn("probes", upto)
+    reps = reps.withColumn("tau", (n - F.ceil(F.lit(LEAST) * n) + c("loose") + c("cut").cast("int")).cast("int"))
+    reps = written(reps.select("key", "rep", "dated", "words", "number", "part", "cut", "utc", "duration", "bits", "tau", "probes"), "classes")
     members = read.select("id", "key").join(reps.select("key", "rep", "dated"), "key").select("id", "rep", "dated")
 
-    span = DAYS * 86400
-    base = reps.filter("dated").select("rep", "utc", "duration", "number", "part", "bits", F.explode("segs").alias("seg"), F.floor(F.col("utc") / span).alias("at"))
-    later = base.select(*[F.col(c).alias(f"x_{c}") for c in ("rep", "utc", "duration", "number", "part", "bits")], "seg", "at")
-    earlier = base.withColumn("at", F.explode(F.array(F.col("at"), F.col("at") + 1)))
-    c = F.col
-    differ = c("x_bits").bitwiseXOR(c("bits"))
-    order = (c("x_utc") > c("utc")) | ((c("x_utc") == c("utc")) & (c("x_rep") > c("rep")))
+    span, day = DAYS * 86400, TIME_BAND * 86400
+    body = ["rep", "utc", "duration", "number", "part", "bits", n.alias("n"), "cut"]
+    dated = reps.filter("dated")
+    length = lambda x: F.floor(F.log(x.cast("double")) / LENGTH_BAND).cast("long")
+    known = c("duration").isNotNull()
+    open_word = F.when(c("cut"), F.array(F.concat(F.element_at("words", -1), F.lit(_OPEN)))).otherwise(F.array().cast("array<string>"))
+    # band -1: records of unknown duration; -2: all records (only looked up by those)
+    index = dated.select(*body, F.explode(F.array_distinct(F.concat("words", open_word))).alias("w"), F.floor(c("utc") / day).alias("at"))
+    index = index.select("*", F.explode(F.when(known, F.array(length(c("duration")), F.lit(-2).cast("long"))).otherwise(F.array(F.lit(-1).cast("long"), F.lit(-2).cast("long")))).alias("band"))
+    index = index.select(F.xxhash64("w", "at", "band").alias("k"), *[c(x) for x in ("rep", "utc", "duration", "number", "part", "bits", "n", "cut")])
+
+    ask = dated.select("rep", "utc", "duration", "number", "part", "bits", n.alias("n"), "cut", "tau", F.explode("probes").alias("w"))
+    alone = c("cut") & (c("n") == 1)
+    ask = ask.withColumn("w", F.explode(F.when(alone, F.array(c("w"), F.concat("w", F.lit(_OPEN)))).otherwise(F.array("w"))))
+    others = broadcast_if_small(stands)
+    ask = ask.unionByName(ask.join(others, ask["w"] == others["word"]).drop("w", "word").withColumnRenamed("other", "w"))
+    near_bands = F.array_distinct(F.array(length(c("duration") * (1 - SHARE) - 1), length(c("duration")), length(c("duration") / (1 - SHARE) + 1), F.lit(-1).cast("long")))
+    ask = ask.withColumn("band", F.explode(F.when(known, near_bands).otherwise(F.array(F.lit(-2).cast("long")))))
+    ask = ask.withColumn("at", F.explode(F.array_distinct(F.array(F.floor((c("utc") - span) / day), F.floor((c("utc") + span) / day)))))
+    ask = ask.select(F.xxhash64("w", "at", "band").alias("k"), *[c(x).alias(f"x_{x}") for x in ("rep", "utc", "duration", "number", "part", "bits", "n", "cut", "tau")])
+
+    hot = index.groupBy("k").agg(F.count(F.lit(1)).alias("size")).filter(c("size") > HOT_KEY).select("k", F.ceil(c("size") / HOT_KEY).cast("int").alias("parts"))
+    hot = written(hot, "hot-keys")
+    if not hot.isEmpty():
+        hot = broadcast_if_small(hot)
+        index = index.join(hot, "k", "left").withColumn("salt", F.when(c("parts").isNull(), 0).otherwise(F.pmod(F.xxhash64("rep"), c("parts")).cast("int"))).drop("parts")
+        ask = ask.join(hot, "k", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce(c("parts") - 1, F.lit(0))))).drop("parts")
+        on = ["k", "salt"]
+    else:
+        on = ["k"]
+    missing, budget = "(x_bits & ~bits)", "(x_tau + cast(cut as int))"
     fits = (
-        order & (c("x_utc") - c("utc") <= span)
+        (c("x_rep") != c("rep")) & (c("x_n") <= c("n")) & (F.abs(c("x_utc") - c("utc")) <= span)
         & (c("x_duration").isNull() | c("duration").isNull() | (F.abs(c("x_duration") - c("duration")) <= SHARE * F.greatest("x_duration", "duration")))
         & (c("x_number").isNull() | c("number").isNull() | (c("x_number") == c("number")))
         & (c("x_part").isNull() | c("part").isNull() | (c("x_part") == c("part")))
-        & _viable(differ, tau) & (F.bit_count(differ) <= tau)
+        & F.expr(_viable(missing, budget)) & F.expr(f"bit_count({missing}) <= {budget}")
     )
-    hits = later.join(earlier, ["seg", "at"]).filter(fits)
-    pairs = hits.select(F.least("x_rep", "rep").alias("a"), F.greatest("x_rep", "rep").alias("b")).distinct()
+    hits = ask.join(index, on).filter(fits)
+    pairs = written(hits.select(F.least("x_rep", "rep").alias("a"), F.greatest("x_rep", "rep").alias("b")).distinct(), "candidates")
     w = reps.select("rep", "words", "cut")
-    pairs = pairs.join(w.select(c("rep").alias("a"), c("words").alias("wa"), c("cut").alias("ca")), "a").join(w.select(c("rep").alias("b"), c("words").alias("wb"), c("cut").alias("cb")), "b")
-    links = written(pairs.mapInPandas(_verify_batches, "a long, b long"), "links")
+    few = broadcast_if_small(pairs)
+    first = w.select(c("rep").alias("a"), c("words").alias("wa"), c("cut").alias("ca")).join(few, "a")
+    both = w.select(c("rep").alias("b"), c("words").alias("wb"), c("cut").alias("cb")).join(broadcast_if_small(first) if few is not pairs else first, "b")
+    links = written(both.mapInPandas(_verify_batches, "a long, b long"), "links")
     return members, links
 
 
+#: A class with more copies is split before its pairs are listed.
+HOT_CLASS = 2_000
+
+
 def duplicate_pairs(episodes: DataFrame, podcasts: DataFrame, hosts: DataFrame) -> DataFrame:
     """(id_a, id_b), id_a < id_b: all pairs of episodes that are records of one recording, copies expanded."""
+    c = F.col
     members, links = recordings(episodes, podcasts, hosts)
     m = members.filter("dated").select("id", "rep")
-    within = m.alias("x").join(m.alias("y"), (F.col("x.rep") == F.col("y.rep")) & (F.col("x.id") < F.col("y.id"))).select(F.col("x.id").alias("id_a"), F.col("y.id").alias("id_b"))
-    across = links.join(m.select(F.col("rep").alias("a"), F.col("id").alias("i")), "a").join(m.select(F.col("rep").alias("b"), F.col("id").alias("j")), "b")
+    size = m.groupBy("rep").agg(F.count(F.lit(1)).alias("size"))
+    copied = m.join(size.filter("size > 1").select("rep", F.ceil(c("size") / HOT_CLASS).cast("int").alias("parts")), "rep")
+    x = copied.select("rep", c("id").alias("id_a"), F.pmod(F.xxhash64("id"), c("parts")).cast("int").alias("salt"))
+    y = copied.select("rep", c("id").alias("id_b"), F.explode(F.sequence(F.lit(0), c("parts") - 1)).alias("salt"))
+    within = x.join(y, ["rep", "salt"]).filter("id_a < id_b").select("id_a", "id_b")
+    across = links.join(m.select(c("rep").alias("a"), c("id").alias("i")), "a").join(m.select(c("rep").alias("b"), c("id").alias("j")), "b")
     return within.unionByName(across.select(F.least("i", "j").alias("id_a"), F.greatest("i", "j").alias("id_b")))
 
 
