@@ -1,17 +1,19 @@
 """Problem 5: splitting oversized spans at natural boundaries.
 
 Boundaries are the ends of sentences; inside a sentence over the limit also
-blanks, and inside an unbroken run over the limit any character. Dynamic
+blanks, and inside an unbroken run over the limit every character. Dynamic
 programming over the boundary positions chooses the cuts: it minimises the
-penalties of the cuts and the imbalance of the pieces under the limit on length.
-Each piece begins up to ``overlap`` characters before the last cut, at the
-start of a word.
+penalties of the cuts, the imbalance of the pieces and the overlap that is lost,
+under the limit on length. A piece begins up to ``overlap`` characters before the
+last cut, at the start of a word; only what the limit leaves no room for is lost,
+and a cut that leaves room is preferred.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pandas as pd
@@ -20,6 +22,8 @@ from pyspark.sql import DataFrame
 LIMIT, OVERLAP = 600, 60
 #: Penalties of a cut by kind, against an imbalance of at most 1 a piece.
 PENALTY = {"line": 0.0, "sentence": 0.3, "word": 4.0, "none": 20.0}
+#: Penalty of an overlap that is lost whole: more than a sentence's end costs, less than a cut between words.
+LOST = 1.5
 KINDS = ("whole", "sentence", "word", "none")
 
 _SENTENCE_END = re.compile(r"[.!?।॥](?=\s|$)|[。！？]|[\n\r\v\f\x85  ]")
@@ -39,6 +43,12 @@ def _sentences(body: str) -> list[tuple[int, int]]:
     return out
 
 
+def _joined(body: str, at: int) -> bool:
+    """Does the character at ``at`` belong to the one before it (a mark, a joiner, part of a pair)?"""
+    ch = body[at]
+    return ch > "\u02ff" and (unicodedata.combining(ch) != 0 or unicodedata.category(ch) in ("Mn", "Mc", "Me") or ch in "\u200d\ufe0f" or body[at - 1] == "\u200d")
+
+
 def boundaries(body: str, limit: int) -> tuple[list[tuple[int, int, str]], str]:
     """((end of a piece, start of the next, kind of cut), finest kind needed) of a text over the limit."""
     found: list[tuple[int, int, str]] = []
@@ -52,11 +62,7 @@ def boundaries(body: str, limit: int) -> tuple[list[tuple[int, int, str]], str]:
             for j, (a, b) in enumerate(runs):
                 if b - a > limit:
                     finest = "none"
-                    step = max(1, limit // 20)
-                    for c in range(a + step, b, step):
-                        while c < b and unicodedata.combining(body[c]):
-                            c += 1
-                        found.append((c, c, "none"))
+                    found += [(c, c, "none") for c in range(a + 1, b) if not _joined(body, c)]
                 if j + 1 < len(runs):
                     found.append((b, runs[j + 1][0], "word"))
         nxt = sents[k + 1][0] if k + 1 < len(sents) else len(body)
@@ -73,46 +79,88 @@ def split(body: str, limit: int = LIMIT, overlap: int = OVERLAP) -> tuple[list[t
     if marks[-1][0] != n:
         marks.append((n, n, "sentence"))
     target = n / -(-n // max(1, limit - overlap // 2))
+    m = len(marks)
+    ends, begins = [x[0] for x in marks], [x[1] for x in marks]
+    in_run = [x[2] == "none" for x in marks]
+    cost_of = [PENALTY[x[2]] for x in marks]
+    words = [w.start() for w in _RUN.finditer(body)]
+
+    def overlapped(j: int, low: int) -> int:
+        """The first place behind ``low`` where a piece may begin to repeat what stands before mark ``j``."""
+        end, kind = ends[j], marks[j][2]
+        if low >= end or overlap <= 0:
+            return begins[j]
+        if kind == "none":
+            while low < end and (body[low].isspace() or _joined(body, low)):
+                low += 1
+            return low if low < end else begins[j]
+        k = bisect_left(words, low)
+        if k < len(words) and words[k] < end:
+            return words[k]
+        while low < end and _joined(body, low):  # an unbroken run longer than the overlap: any character
+            low += 1
+        return low if low < end else begins[j]
+
+    full = [overlapped(j, max(0, ends[j] - overlap)) for j in range(m)]
+    many = finest == "none"
+    scale = 1 / limit
+    if many:
+        import numpy as np
+
+        full_, begins_, cost_ = np.array(full), np.array(begins), np.full(m, np.inf)
     # cost and choice of the best division whose last piece ends at marks[i]
-    cost = [0.0] * len(marks)
-    back = [0] * len(marks)
+    cost = [float("inf")] * m
+    back = [-2] * m
     lo = 0
-    for i, (end, _, kind) in enumerate(marks):
+    for i in range(m):
+        end = ends[i]
         best, choice = float("inf"), -2
         if end <= limit:
             best, choice = ((end - target) / limit) ** 2, -1
-        while lo < i and end - marks[lo][1] > limit:
+        while lo < i and end - begins[lo] > limit:
             lo += 1
-        for j in range(lo, i):
-            if cost[j] == float("inf"):
+        tight = lo  # behind it the whole overlap has room
+        while tight < i and end - full[tight] > limit:
+            j = tight
+            if in_run[j]:  # the next character is as good a cut and leaves more room
+                tight += 1
+                continue
+            if cost[j] >= best:
+                tight += 1
                 continue
-            c = cost[j] + ((end - marks[j][1] - target) / limit) ** 2
+            start = overlapped(j, max(end - limit, ends[j] - overlap))
+            c = cost[j] + ((end - start - target) / limit) ** 2 + LOST * max(0, ends[j] - full[j] - max(0, ends[j] - start)) / max(1, overlap)
             if c < best:
                 best, choice = c, j
-        cost[i] = best + (PENALTY[kind] if end < n else 0.0)
+            tight += 1
+        if many and i - tight > 40:
+            c_ = cost_[tight:i] + ((end - full_[tight:i] - target) / limit) ** 2
+            k = int(c_.argmin())
+            if c_[k] < best:
+                best, choice = float(c_[k]), tight + k
+        else:
+            shift = end - target
+            for j in range(i - 1, tight - 1, -1):
+                c = cost[j]
+                if c < best:  # else it can't win, whatever the balance
+                    d = (shift - full[j]) * scale
+                    c += d * d
+                    if c < best:
+                        best, choice = c, j
+        cost[i] = best + (cost_of[i] if end < n else 0.0)
+        if many:
+            cost_[i] = cost[i]
         back[i] = choice
-    ends: list[tuple[int, int]] = []
-    i = len(marks) - 1
+    path = []
+    i = m - 1
     while i >= 0:
-        ends.append((i, back[i]))
+        path.append((i, back[i]))
         i = back[i]
-    pieces = []
-    for i, j in reversed(ends):
-        end, _, kind = marks[i]
-        start = marks[j][1] if j >= 0 else 0
-        if j >= 0:
-            # begin up to ``overlap`` characters before the last cut, at the first word start there
-            low = max(marks[j][0] - overlap, end - limit, pieces[-1][0] + 1)
-            if low < marks[j][0]:
-                at = low
-                if not body[at - 1].isspace():
-                    m = re.compile(r"\s").search(body, at, marks[j][0])
-                    at = m.end() if m else (low if marks[j][2] == "none" else start)
-                while at < marks[j][0] and (body[at].isspace() or unicodedata.combining(body[at])):
-                    at += 1
-                if at < marks[j][0]:
-                    start = at
-        pieces.append((start, end, kind if end < n else "end"))
+    pieces: list[tuple[int, int, str]] = []
+    for i, j in reversed(path):
+        end = ends[i]
+        start = 0 if j < 0 else overlapped(j, max(ends[j] - overlap, end - limit, pieces[-1][0] + 1))
+        pieces.append((start, end, marks[i][2] if end < n else "end"))
     return pieces, finest
 
 
