@@ -4,8 +4,10 @@ Documents are spread over groups of bounded token count by a hash; each group is
 packed by best fit in falling order of size. Bins are ordered by the room left
 and carry bitmaps of the sources and duplicate clusters they hold; the search
 for the tightest bin goes on to the next until a compatible one is found. Two
-copies of a text never share a bin; a second document of a source enters a bin
-only if no bin without that source has room. The bins that each group leaves
+records of a cluster never share a bin. A source is a conflict too: in the strict
+mode two documents of a source never share a bin, whatever room that costs; in
+the soft mode a second one enters a bin only if no bin without that source has
+room. The bins that each group leaves
 badly filled are packed again in a second round, in fewer groups.
 """
 
@@ -38,9 +40,9 @@ class Bins:
         self.rooms[room].setdefault(masks, []).append(b)
         self.open |= 1 << room
 
-    def place(self, size: int, source: int, cluster: int) -> int:
+    def place(self, size: int, source: int, cluster: int, strict_only: bool = False) -> int:
         """The bin that takes an item: the tightest that fits, else a new one. Bits of 0 conflict with nothing."""
-        for strict in (True, False):
+        for strict in (True,) if strict_only else (True, False):
             left = self.open >> size << size
             while left:
                 room = (left & -left).bit_length() - 1
@@ -61,7 +63,7 @@ class Bins:
         return b
 
 
-def pack(items: list[tuple[int, int, object, object]], capacity: int) -> list[int]:
+def pack(items: list[tuple[int, int, object, object]], capacity: int, strict: bool = False) -> list[int]:
     """The bin of each item (size, tie breaker, source, cluster); sizes in 1..capacity."""
     order = sorted(range(len(items)), key=lambda i: (-items[i][0], items[i][1]))
     seen: dict[object, int] = {}
@@ -76,15 +78,15 @@ def pack(items: list[tuple[int, int, object, object]], capacity: int) -> list[in
         size, _, source, cluster = items[i]
         repeated = cluster is not None and seen[cluster] > 1
         c = 1 << cbit.setdefault(cluster, len(cbit)) if repeated else 0
-        out[i] = bins.place(size, bits(source), c)
+        out[i] = bins.place(size, bits(source), c, strict)
     return out
 
 
-def _pack_group(capacity: int):
+def _pack_group(capacity: int, strict: bool):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         none = lambda v: None if v is None or v != v else v
         items = [(int(n), (int(d), int(k)), none(s), none(c)) for n, d, k, s, c in zip(pdf["n_tokens"], pdf["doc_id"], pdf["piece_no"], pdf["source"], pdf["cluster"])]
-        bins = pack(items, capacity)
+        bins = pack(items, capacity, strict)
         out = pdf.assign(bin=bins)
         out["room"] = capacity - out.groupby("bin")["n_tokens"].transform("sum")
         return out
@@ -93,16 +95,22 @@ def _pack_group(capacity: int):
 
 
 def pack_sequences(
-    documents: DataFrame, capacity: int = CAPACITY, group_tokens: int = GROUP_TOKENS, folder: str = DEFAULT_FOLDER, name: str = VOCABULARY
-) -> DataFrame:
+    documents: DataFrame, capacity: int = CAPACITY, group_tokens: int = GROUP_TOKENS, folder: str = DEFAULT_FOLDER, name: str = VOCABULARY,
+    strict_sources: bool = False, clusters: DataFrame | None = None,
+) -> DataFrame:
     """(doc_id, piece_no, token_start, n_tokens, sequence_id, source): where each document's tokens go.
 
     A document over the capacity is cut into full sequences and a rest; every
     other is whole. Null and empty texts have no tokens and take no room.
-    Documents of equal text form a cluster. sequence_id is unique over the
+    Documents of equal text form a cluster; ``clusters`` (doc_id, cluster long) names
+    other ones, as groups of near-duplicates, for the documents it lists. With
+    ``strict_sources`` no sequence holds two documents of a source. sequence_id is unique over the
     corpus; the tokens of a sequence never exceed the capacity.
     """
     keyed = documents.select(F.col("doc_id").cast("long"), "source", F.xxhash64("text").alias("cluster"), "text")
+    if clusters is not None:
+        named = clusters.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min(F.col("cluster").cast("long")).alias("named"))
+        keyed = keyed.join(named, "doc_id", "left").withColumn("cluster", F.coalesce("named", "cluster")).drop("named")
     sized = written(count_tokens(keyed, ["doc_id", "source", "cluster"], folder, name).filter("n_tokens > 0"), "sizes")
     n = F.col("n_tokens")
     starts = F.sequence(F.lit(0), F.floor((n - 1) / capacity).cast("int"))
@@ -117,7 +125,7 @@ def pack_sequences(
 
     def packed(df: DataFrame, groups: int, salt: int) -> DataFrame:
         spread = df.withColumn("grp", F.pmod(F.xxhash64("doc_id", "piece_no", F.lit(salt)), F.lit(groups)))
-        return spread.groupBy("grp").applyInPandas(_pack_group(capacity), schema)
+        return spread.groupBy("grp").applyInPandas(_pack_group(capacity, strict_sources), schema)
 
     first = written(packed(rest, max(1, -(-total // group_tokens)), 1), "round1")
     tight = first.filter(F.col("room") <= capacity * LOOSE)

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
 
 from auralake.llm import linkage, neardup, packing, sentences, spans, tokens, turns
 from auralake.session import read
@@ -58,12 +60,45 @@ def p8_sequences(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack_sequences(read(spark, d, "documents"))
 
 
+def p8_strict(spark: SparkSession, d: str) -> DataFrame:
+    """Problem 8: the same with no two documents of a source in a sequence."""
+    return packing.pack_sequences(read(spark, d, "documents"), strict_sources=True)
+
+
+def p8_checks(spark: SparkSession, d: str) -> DataFrame:
+    """Problem 8: what holds of the sequences: documents and pieces, none too full, copies and (strict) sources apart."""
+    t = read(spark, d, "documents").select("doc_id", F.xxhash64("text").alias("cluster"), F.length("text").alias("chars"))
+    out = []
+    for mode in ("soft", "strict"):
+        x = packing.pack_sequences(read(spark, d, "documents"), strict_sources=mode == "strict").join(t, "doc_id")
+        per = x.groupBy("sequence_id").agg(F.sum("n_tokens").alias("n"), F.count(F.lit(1)).alias("k"), F.countDistinct("cluster").alias("c"), F.countDistinct(F.coalesce("source", F.concat(F.lit("null-"), F.col("doc_id").cast("string")))).alias("s"))
+        per = per.agg(F.count(F.when(F.col("n") > packing.CAPACITY, 1)).alias("too_full"), F.count(F.when(F.col("k") > F.col("c"), 1)).alias("copies_together"), F.count(F.when(F.col("k") > F.col("s"), 1)).alias("sources_together"))
+        docs = x.groupBy("doc_id").agg(F.sum("n_tokens").alias("n"), F.count(F.lit(1)).alias("k")).agg(F.count(F.lit(1)).alias("documents"), F.count(F.when((F.col("n") <= packing.CAPACITY) & (F.col("k") > 1), 1)).alias("cut_needlessly"))
+        names = ("documents", "cut_needlessly", "too_full", "copies_together", "sources_together")
+        one = docs.unionByName(per, allowMissingColumns=True).agg(*[F.max(x).alias(x) for x in names])  # two rows into one
+        out.append(one.withColumn("mode", F.lit(mode)).withColumn("sources_together", F.when(F.lit(mode == "strict"), F.col("sources_together"))))
+    return out[0].unionByName(out[1])
+
+
+def p5_checks(spark: SparkSession, d: str) -> DataFrame:
+    """Problem 5: what holds of the pieces: none too long or without text, they cover the span, follow each other and overlap by at most 60."""
+    c = F.col
+    p = p5_pieces(spark, d).withColumn("end", c("char_start") + c("n_chars"))
+    w = W.partitionBy("span_id", "episode_id").orderBy("piece_no")
+    p = p.withColumns({"before": F.lag("end").over(w), "began": F.lag("char_start").over(w)})
+    n = lambda x: F.count(F.when(x, 1))
+    return p.groupBy("span_id").agg(
+        n(c("n_chars") > spans.LIMIT).alias("too_long"), n((c("n_chars") < 1) | (F.length("text") != c("n_chars"))).alias("wrong_text"),
+        n((c("before") - c("char_start") > spans.OVERLAP) | (c("char_start") <= c("began")) | (c("end") <= c("before"))).alias("wrong_overlap"), F.min("char_start").alias("from_char"), F.max("end").alias("to_char"),
+    )
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     """Problem 9: every sentence of every document."""
     return sentences.split_sentences(read(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_turns, p3_found, p3_groups, p5_found, p5_pieces, p6_found, p6_confidence, p7_ids, p8_sequences, p9_found)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_turns, p3_found, p3_groups, p5_found, p5_pieces, p6_found, p6_confidence, p7_ids, p8_sequences, p8_strict, p8_checks, p5_checks, p9_found)}
 
 _B = "\\s\\x{00a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}\\x{0085}\\x{000b}\\x{001c}-\\x{001f}"
 ORACLE = {
@@ -77,4 +112,12 @@ trimmed as (select span_id, regexp_replace(s, '^[{_B}]+|[{_B}]+$', '', 'g') as s
 runs as (select span_id, s, length(s) as n, list_max(list_transform(regexp_split_to_array(s, '[{_B}]+'), lambda x: length(x))) as run from trimmed)
 select span_id, case when max(n) <= 600 then 'sentence' when max(case when n > 600 then run else 0 end) <= 600 then 'word' else 'none' end as cut_at
 from runs group by span_id""",
+    # what every division of the spans must satisfy, whatever the cuts
+    "p5_checks": f"""
+with t as (select distinct span_id, episode_id, char_start, text, regexp_replace(text, '^[{_B}]+', '', 'g') as l, regexp_replace(text, '^[{_B}]+|[{_B}]+$', '', 'g') as body from text_spans where text is not null)
+select span_id, 0::bigint as too_long, 0::bigint as wrong_text, 0::bigint as wrong_overlap, min(char_start + length(text) - length(l))::bigint as from_char, max(char_start + length(text) - length(l) + length(body))::bigint as to_char
+from t where body <> '' group by span_id""",
+    "p8_checks": """
+with d as (select count(*)::bigint as documents from documents where text is not null and text <> '')
+select mode, documents, 0::bigint as cut_needlessly, 0::bigint as too_full, 0::bigint as copies_together, case when mode = 'strict' then 0::bigint end as sources_together from d, (values ('soft'), ('strict')) m(mode)""",
 }

@@ -28,7 +28,7 @@ SOUND_WORDS = (
     "applause", "applauds", "audio", "background", "beep", "bell", "breath", "cheer", "chuckle", "clap", "clears throat", "closes", "cough", "cross-talk", "crosstalk", "cry",
     "door", "exhale", "fades", "gasp", "groan", "inaudible", "indistinct", "inhale", "jingle", "knock", "laugh", "laughter", "music", "mumbl", "noise", "opens", "outro", "intro",
     "overlapping", "pause", "phone", "playing", "ringing", "ring", "scream", "sigh", "silence", "sings", "singing", "snap", "sniff", "sob", "sound", "static", "theme", "unintelligible",
-    "untranscribed", "whisper", "whistle", "yawn",
+    "untranscribed", "whisper", "whistle", "yawn", "unclear", "redacted", "bleep",
 )
 # Phrases before a colon that are speech.
 LEAD_INS = frozenset({"warning", "note", "question", "answer", "remember", "reminder", "fun fact", "spoiler", "tip", "update", "example", "quote", "the thing", "thing", "fact", "the point", "my point"})
@@ -39,22 +39,30 @@ _TIME = re.compile(
     r"|\(\s*\d{1,2}:\d{2}(?::\d{2})?(?:[.,]\d{1,3})?(?:\s*(?:-->|-|–)\s*\d{1,2}:\d{2}(?::\d{2})?(?:[.,]\d{1,3})?)?\s*\)"
     r"|(?<![\d:.])\d{1,2}:\d{2}:\d{2}(?:[.,]\d{1,3})?(?:\s*(?:-->|-|–)\s*\d{1,2}:\d{2}:\d{2}(?:[.,]\d{1,3})?)?(?![\d:])"
 )
-_SQUARE = re.compile(r"\[[^\[\]\n]{1,200}\]")
-_PAREN = re.compile(r"\([^()\n]{1,80}\)")
-_STAR = re.compile(r"(?<!\*)\*(?!\*)[^*\n]{1,60}\*(?!\*)")
+_SQUARE = re.compile(r"\[[^\[\]\n]+\]")
+_PAREN = re.compile(r"\([^()\n]+\)")
+_STAR = re.compile(r"(?<!\*)\*(?!\*)[^*\n]+\*(?!\*)")
 _SONG = re.compile(r"[♪♫🎵🎶][^♪♫🎵🎶\n]*[♪♫🎵🎶]|[♪♫🎵🎶]")
-_TAG = re.compile(r"</?(?!v[\s.])[A-Za-z][^<>\n]{0,60}>|</v>")
-_VOICE = re.compile(r"<v(?:\.[^\s>]*)?\s+([^<>\n]{1,80})>")
+_TAG = re.compile(r"</?(?!v[\s.])[A-Za-z][^<>\n]*>|</v>")
+_VOICE = re.compile(r"<v(?:\.[^\s>]*)?\s+([^<>\n]+)>")
 
+_MARKER = re.compile(r"\[[^a-z\[\]]*[A-Z][^a-z\[\]]*[A-Z_][^a-z\[\]]*\]$")  # a mark of a machine or editor in capitals
 _TRAIL = re.compile(r"\s?(?:\.{2,}|…)|,")  # what goes with a hesitation sound
-_COLON = re.compile(r"(?:\s*\([^()\n]{1,24}\))*\s*:")
+_COLON = re.compile(r"(?:\s*\([^()\n]+\))*\s*:")
+#: What may follow a sound word inside its word.
+_INFLECTED = re.compile(r"(?:e?s|e?d|l?ing|e|er|ers|ter|(?:b|p)(?:ed|ing)|ies|ying)?(?![^\W_])")
+_WORDS = re.compile(r"[^\W_]+")
 _LABEL_END = re.compile(r":(?=[\s*\x00]|$)")
 
 _TOK = r"(?:[^\W\d_](?:[\w'’\-]*[^\W_])|[^\W\d_]\.?)"
 _HON = r"(?:(?:dr|mr|mrs|ms|prof|hon|rev)\.?[ ]+)?"
 _SPK = r"(?:speaker|spkr|spk|s)[ _]*\#?[ ]*\d{1,3}"
 _NAME = rf"(?P<name>{_SPK}|{_HON}{_TOK}(?:[ ]{_TOK}){{0,2}})"
-_PAR = r"(?:[ ]*(?:\([^()\n]{1,24}\)|\x00))*[ ]*"
+_PAR = r"(?:[ ]*(?:\([^()\n]+\)|\x00))*[ ]*"
+#: A longer unbroken string is no name.
+_NAME_WORD = 200
+#: Words before a colon among which a label is looked for (names have three and a title; the others are notes in brackets).
+_REACH = 24
 _LABEL = tuple(
     re.compile(p, re.IGNORECASE)
     for p in (
@@ -96,6 +104,8 @@ def _key(name: str) -> tuple[str, str, str] | None:
     bare = _HONOUR.sub("", name)
     toks = bare.split(" ")
     low = [t.lower() for t in toks]
+    if max(map(len, toks)) > _NAME_WORD:
+        return None
     if " ".join(low) in LEAD_INS or any(t in COMMON for t in low if len(t) > 1):
         return None
     if len(toks) == 1:
@@ -120,9 +130,14 @@ def scan(text: str) -> tuple[list[tuple[int, int]], list[tuple[int, int, tuple[s
     has_colon = False
     times = [m.span() for m in _TIME.finditer(text)] if ":" in text else []
     noise += times
-    sounds = [(s, e) for s, e, k in hits if k == "sound"]
+    sounds = [(s, e) for s, e, k in hits if k == "sound" and not (s and text[s - 1].isalnum()) and _INFLECTED.match(text, e)]
     taken = 0
 
+    def is_note(a: int, b: int) -> bool:
+        """Whole sound words, and for each at most three other words, make a stretch a note."""
+        n = sum(a < s and e < b for s, e in sounds)
+        return n > 0 and len(_WORDS.findall(text, a, b)) <= 4 * n
+
     def covered(s: int, e: int) -> bool:
         return any(a <= s and e <= b for a, b in times)
 
@@ -145,13 +160,15 @@ def scan(text: str) -> tuple[list[tuple[int, int]], list[tuple[int, int, tuple[s
                 m = _SQUARE.match(text, s)
                 if m and _COLON.match(text, m.end()):
                     continue  # a label in brackets
+                if m and not is_note(*m.span()) and (m.group() != m.group().upper() or m.group() == m.group().lower() or not _MARKER.match(m.group())):
+                    m = None
             elif ch == "(":
                 m = _PAREN.match(text, s)
-                if m and not any(m.start() < a and b < m.end() for a, b in sounds):
+                if m and not is_note(*m.span()):
                     m = None
             elif ch == "*":
                 m = _STAR.match(text, s)
-                if m and not any(m.start() < a and b < m.end() for a, b in sounds):
+                if m and not is_note(*m.span()):
                     m = None
             elif ch == "<":
                 if v := _VOICE.match(text, s):
@@ -175,7 +192,10 @@ def scan(text: str) -> tuple[list[tuple[int, int]], list[tuple[int, int, tuple[s
             masked[s:e] = "\x01" * (e - s)
         flat = "".join(masked)
         for m in _LABEL_END.finditer(flat):
-            lo = max(0, m.start() - 90)
+            lo = m.start()
+            for _ in range(_REACH):
+                lo = flat.rfind(" ", 0, lo) if lo > 0 else lo
+            lo = max(0, lo)
             part = ("\x02" if lo else "") + flat[lo : m.end()]
             if any(s <= m.start() < e for s, e, _ in labels):
                 continue
@@ -222,7 +242,7 @@ def resolve(keys: list[tuple[str, str, str, int]]) -> list[tuple[str, str, str,
     for kind, a, b, n in keys:
         if kind == "full":
             full[a, b] = full.get((a, b), 0) + n
-    support = {f: n + min(parts.get(f[0], 0), 1000) + min(parts.get(f[1], 0), 1000) for f, n in full.items()}
+    support = {f: n + parts.get(f[0], 0) + parts.get(f[1], 0) for f, n in full.items()}
     ranked = sorted(full, key=lambda f: (-support[f], -full[f], f))
     right: dict[tuple[str, str], tuple[str, str]] = {}
     for f in ranked:
@@ -263,7 +283,7 @@ def _speech(clean: str) -> tuple[int, str]:
     return len(kept), " ".join(kept)
 
 
-_PIECES = "episode_id long, seg_index int, piece_no int, kind string, a string, b string, n_words int, n_label int, words string, label_words string"
+_PIECES = "episode_id long, seg_index int, part long, piece_no int, kind string, a string, b string, n_words int, n_label int, words string, label_words string"
 
 
 def _pieces(with_text: bool):
@@ -271,7 +291,7 @@ def _pieces(with_text: bool):
         names = [x.split()[0] for x in _PIECES.split(", ")]
         for pdf in batches:
             rows = []
-            for ep, seg, text in zip(pdf["episode_id"].tolist(), pdf["seg_index"].tolist(), pdf["text"].tolist()):
+            for ep, seg, text, part in zip(pdf["episode_id"].tolist(), pdf["seg_index"].tolist(), pdf["text"].tolist(), pdf["part"].tolist()):
                 if not isinstance(text, str) or not text:
                     continue
                 noise, labels = scan(text)
@@ -284,7 +304,7 @@ def _pieces(with_text: bool):
                     if key is None and n == 0:
                         continue
                     kind, a, b = key or (None, None, None)
-                    rows.append((ep, None if pd.isna(seg) else int(seg), k, kind, a, b, n, nl, words if with_text else None, lw if with_text else None))
+                    rows.append((ep, None if seg != seg or seg is None else int(seg), part, k, kind, a, b, n, nl, words if with_text else None, lw if with_text else None))
             yield pd.DataFrame(rows, columns=names).astype({"seg_index": "Int32"})
 
     return run
@@ -299,14 +319,14 @@ def _resolve_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def speaker_turns(segments: DataFrame, with_text: bool = True, hot_rows: int = HOT_ROWS) -> DataFrame:
     """(episode_id, turn_no, speaker, n_words, text) of every transcript in which a speaker label occurs.
 
-    Repeated deliveries of a segment count once (of different texts under one
-    key the greater one). Null or empty texts give no words; a null episode_id
-    is no transcript; a null seg_index sorts first. Further columns are ignored.
+    Exact second deliveries of a segment count once; different texts under one key
+    (or under a null seg_index, which sorts first) all stay, in an
+    order that only the texts decide. Null or empty texts give no words; a null episode_id is no transcript. Further columns are ignored.
     An empty table gives an empty result. Very long transcripts are cut into
     chunks of segments (see ``operators.scan``).
     """
     seg = segments.select(F.col("episode_id").cast("long"), F.col("seg_index").cast("int"), "text").filter("episode_id is not null")
-    seg = seg.groupBy("episode_id", "seg_index").agg(F.max("text").alias("text"))
+    seg = seg.filter("text <> ''").withColumn("part", F.xxhash64("text")).dropDuplicates(["episode_id", "seg_index", "part"])
     pieces = written(seg.mapInPandas(_pieces(with_text), _PIECES), "pieces")
 
     keys = pieces.filter("kind is not null").groupBy("episode_id", "kind", "a", "b").agg(F.count(F.lit(1)).alias("n"))
@@ -320,11 +340,11 @@ def speaker_turns(segments: DataFrame, with_text: bool = True, hot_rows: int = H
     rows = rows.join(broadcast_if_small(resolved.select("episode_id").distinct()), "episode_id", "left_semi")
     rejected = F.col("kind").isNotNull() & F.col("speaker").isNull()
     rows = rows.select(
-        "episode_id", "seg_index", "piece_no", "speaker",
+        "episode_id", "seg_index", "part", "piece_no", "speaker",
         (F.col("n_words") + F.when(rejected, F.col("n_label")).otherwise(0)).alias("n"),
         F.when(rejected, F.concat_ws(" ", "label_words", "words")).otherwise(F.col("words")).alias("words"),
     )
-    key, order = ["episode_id"], ["seg_index", "piece_no"]
+    key, order = ["episode_id"], ["seg_index", "part", "piece_no"]
     rows, chunked = assign_chunks(rows, key, "seg_index", hot_rows)
     rows = running(rows, key, order, {"who": ("last", F.col("speaker"), True)}, chunked).drop("speaker")
     rows = rows.filter("n > 0").withColumn("who", F.coalesce("who", F.lit("unknown")))
@@ -333,5 +353,5 @@ def speaker_turns(segments: DataFrame, with_text: bool = True, hot_rows: int = H
     rows = running(rows, key, order, {"turn_no": ("sum", F.col("new"), True)}, chunked)
     aggs = [F.max("who").alias("speaker"), F.sum("n").alias("n_words")]
     if with_text:
-        aggs.append(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seg_index", "piece_no", "words"))), lambda x: x["words"]), " ").alias("text"))
+        aggs.append(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seg_index", "part", "piece_no", "words"))), lambda x: x["words"]), " ").alias("text"))
     return rows.groupBy("episode_id", "turn_no").agg(*aggs)
