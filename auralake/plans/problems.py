@@ -39,17 +39,18 @@ _NOTATIONS = (
 )
 
 
-def _p1_sql() -> str:
-    """The same instants by another road: strptime, and DuckDB's own time zones."""
+def instants_sql(rows: str, keys: str) -> str:
+    """CTEs that end in ``instants`` ({keys}, u): the same instants by another road, strptime and DuckDB's own time zones.
+
+    ``rows`` selects the key columns, raw and zone.
+    """
     case = " ".join(f"when regexp_matches(t, '{p}') then regexp_replace(t, '{p}', '{r}')" for p, r in _NOTATIONS)
     abb = ", ".join(f"('{k}', {v})" for k, v in timestamps.ABBREVIATIONS.items())
     return rf"""
-with rows as (
-  select 'episodes' as src, id as rec_id, '' as chart, published_date as raw, coalesce(h.time_zone, 'UTC') as zone from episodes e left join feed_hosts h using (feed_host)
-  union select 'podcast_charts', podcast_id, chart, first_seen_at, 'UTC' from podcast_charts),
-cand as (select *, regexp_replace(raw, '^[\s\x{{a0}}]+|[\s\x{{a0}}]+$', '', 'g') as t from rows where raw is not null and not regexp_full_match(raw, '\d{{4}}-\d{{2}}-\d{{2}}T\d{{2}}:\d{{2}}:\d{{2}}Z')),
-epoch as (select src, rec_id, chart, case length(t) when 10 then try_cast(t as bigint) when 13 then try_cast(t as bigint) // 1000 end as u from cand where regexp_full_match(t, '\d{{10}}|\d{{13}}')),
-fields as (select src, rec_id, chart, zone, string_split(case {case} end, '|') as f from cand where not regexp_full_match(t, '\d{{10}}|\d{{13}}')),
+rows as ({rows}),
+cand as (select *, regexp_replace(raw, '^[\s\x{{a0}}]+|[\s\x{{a0}}]+$', '', 'g') as t from rows where raw is not null),
+epoch as (select {keys}, case length(t) when 10 then try_cast(t as bigint) when 13 then try_cast(t as bigint) // 1000 end as u from cand where regexp_full_match(t, '\d{{10}}|\d{{13}}')),
+fields as (select {keys}, zone, string_split(case {case} end, '|') as f from cand where not regexp_full_match(t, '\d{{10}}|\d{{13}}')),
 parts as (select *, case when length(f[1]) = 2 then '20' || f[1] else f[1] end as y, case when regexp_full_match(f[2], '\d+') then try_cast(f[2] as int) else (instr('janfebmaraprmayjunjulaugsepoctnovdec', lower(left(f[2], 3))) + 2) // 3 end as mo,
   try_cast(f[3] as int) as d, coalesce(try_cast(f[4] as int), 0) as h0, coalesce(try_cast(f[5] as int), 0) as mi, coalesce(try_cast(f[6] as int), 0) as s, lower(f[7]) as half, trim(f[8]) as z from fields where f is not null),
 clock as (select *, case when half = '' then h0 when h0 between 1 and 12 then h0 % 12 + case when half = 'p' then 12 else 0 end else 99 end as h from parts),
@@ -57,9 +58,15 @@ local as (select *, try_strptime(format('{{}}-{{:02d}}-{{:02d}} {{:02d}}:{{:02d}
 abb(a, m) as (values {abb}),
 offs as (select local.*, regexp_extract(z, '^(?:UTC|GMT)?([+-]\d{{2}}:?\d{{2}})', 1) as o, abb.m, regexp_extract(z, '([A-Z][A-Za-z]+/[A-Za-z_]+)', 1) as region from local left join abb on abb.a = upper(regexp_replace(z, '[\[\]]', '', 'g')) where l is not null),
 named as (select *, case when z = '' then zone when o = '' and m is null and region <> '' then region end as tz, case when o <> '' then (try_cast(o[2:3] as int) * 60 + try_cast(right(o, 2) as int)) * case o[1] when '-' then -1 else 1 end else m end as off from offs),
-inst as (select src, rec_id, chart, l, tz, off, case when tz is not null then timezone(tz, l) end as w from named),
-civil as (select src, rec_id, chart, case when tz is not null then epoch(case when timezone(tz, w - interval 1 hour) = l then w - interval 1 hour else w end)::bigint when off is not null then epoch(l)::bigint - off * 60 end as u from inst)
-select distinct src, rec_id, chart, u as utc_second from (select * from epoch union all select * from civil) where u is not null"""
+inst as (select {keys}, l, tz, off, case when tz is not null then timezone(tz, l) end as w from named),
+civil as (select {keys}, case when tz is not null then epoch(case when timezone(tz, w - interval 1 hour) = l then w - interval 1 hour else w end)::bigint when off is not null then epoch(l)::bigint - off * 60 end as u from inst),
+instants as (select distinct {keys}, u from (select * from epoch union all select * from civil) where u is not null)"""
+
+
+def _p1_sql() -> str:
+    rows = r"""select * from (select 'episodes' as src, id as rec_id, '' as chart, published_date as raw, coalesce(h.time_zone, 'UTC') as zone from episodes e left join feed_hosts h using (feed_host)
+  union select 'podcast_charts', podcast_id, chart, first_seen_at, 'UTC' from podcast_charts) where not regexp_full_match(raw, '\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}Z')"""
+    return f"with {instants_sql(rows, 'src, rec_id, chart')} select src, rec_id, chart, u as utc_second from instants"
 
 
 ORACLE = {

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from auralake.functions import scalar as fn
 from auralake.operators import catalog, charts, evaluation, intervals, labels, sampling, scoring, selection, text
+from auralake.plans.problems import instants_sql
 from auralake.session import read
 from auralake.sources import captures, jsonl, transcripts
 from auralake.streaming import jobs
@@ -212,7 +213,7 @@ def implausible_transcripts(spark, d):
 # ---- charts ------------------------------------------------------------------------------------------
 _R = "r as (select event_type as series, cast(ts as date) as day, user_id as entity, row_number() over (partition by event_type, cast(ts as date) order by value desc, event_id) as rank from events)"
 _DAYS = _R + ", days as (select distinct series, day from r)"
-_BEST = _R + ", b0 as (select series, day, entity, min(rank) as rank from r where rank <= 50 group by all), fd as (select series, day from b0 group by all having count(*) >= 0.6 * 50), best as (select b0.* from b0 join fd using (series, day))"
+_BEST = _R + ", e0 as (select series, day, entity, min(rank) as top from r group by all), e1 as (select series, day, entity, row_number() over (partition by series, day order by top) as rank from e0), b0 as (select * from e1 where rank <= 50), fd as (select series, day from b0 group by all having count(*) >= 0.95 * 50), best as (select b0.* from b0 join fd using (series, day))"
 
 
 def best_ranks(spark, d):
@@ -321,11 +322,14 @@ def daily_entities(spark, d):
 
 
 @query(
-    f"""with {_BEST}, p as (select a.series, date_diff('day', a.day, b.day) as days, a.day as d1, b.day as d2, na, nb, count(*) filter (m) as k from
- (select x.*, count(*) over (partition by series, day) as na from best x) a join (select x.*, count(*) over (partition by series, day) as nb from best x) b on a.series = b.series and a.day < b.day and date_diff('day', a.day, b.day) <= 40
- cross join lateral (select a.entity = b.entity as m) group by all),
-g as (select series, case when days = 1 then '1 day' when days between 2 and 4 then '2-4 days' when days between 5 and 9 then '5-9 days' when days between 10 and 20 then '10-20 days' when days between 21 and 40 then '21-40 days' end as gap, k / (na + nb - k)::double as j, k / na::double as r from p)
-select series, gap, count(*) as pairs, round(median(j), 6) as median_jaccard, round(median(r), 6) as median_retention from g group by all"""
+    f"""with {_BEST}, x as (select *, count(*) over (partition by series, day) as n from best), dd as (select distinct series, day from best),
+pr as (select a.series, a.day as d1, b.day as d2, date_diff('day', a.day, b.day) as days from dd a join dd b on a.series = b.series and a.day < b.day and date_diff('day', a.day, b.day) <= 100),
+sh as (select pr.series, d1, d2, days, max(x.n) as na, count(y.entity) as k, median(abs(x.rank - y.rank)) as mv, {", ".join(f"count(*) filter (x.rank between {lo} and {hi}) as a{lo}, count(y.entity) filter (x.rank between {lo} and {hi}) as k{lo}" for lo, hi in ((1, 10), (11, 50), (51, 100)))}
+ from pr join x on x.series = pr.series and x.day = d1 left join best y on y.series = pr.series and y.day = d2 and y.entity = x.entity group by all),
+nb as (select series, day as d2, count(*) as nb from best group by all),
+g as (select series, case when days = 1 then '1 day' when days <= 3 then '2-3 days' when days <= 9 then '4-9 days' when days <= 20 then '10-20 days' when days <= 45 then '21-45 days' else '46-100 days' end as gap, k / (na + nb - k)::double as j, k / na::double as r, case when k >= 5 then mv end as mv,
+ {", ".join(f"case when a{lo} > 0 then k{lo} / a{lo}::double end as r{lo}" for lo in (1, 11, 51))} from sh join nb using (series, d2))
+select series, gap, count(*) as pairs, round(median(j), 6) as median_jaccard, round(median(r), 6) as median_retention, round(median(mv), 6) as median_move, {", ".join(f"round(median(r{lo}), 6) as retain_{lo}_{hi}" for lo, hi in ((1, 10), (11, 50), (51, 100)))} from g group by all"""
 )
 def turnover(spark, d):
     """J18, U5, A25, F25."""
@@ -429,7 +433,12 @@ def select_daily(spark, d):
 
 
 # ---- catalog -----------------------------------------------------------------------------------------
-_EP = "ep as (select distinct id, podcast_id, title, duration_seconds, published_date, episode_type, feed_host, case when regexp_matches(published_date, '^\\d{4}-\\d{2}-\\d{2}') then try_cast(left(published_date, 10) as date) end as day, 'podcast:' || podcast_id as entity from episodes)"
+# the day of the instant in whatever notation (a day alone is that day in any zone), else the day a text begins with
+_ZONED = r"case when contains(published_date, ':') or regexp_matches(published_date, '\d{8}[Tt ]?\d{6}') then coalesce(h.time_zone, 'UTC') else 'UTC' end"
+_DAYS_OF = "day_of as (with " + instants_sql(f"select distinct published_date as raw, {_ZONED} as zone, {_ZONED} as host_zone from episodes left join feed_hosts h using (feed_host)", "raw, host_zone") + " select * from instants)"
+_EP = f"""{_DAYS_OF}, ep as (select distinct id, podcast_id, title, duration_seconds, published_date, episode_type, feed_host,
+coalesce(date '1970-01-01' + floor(u / 86400.0)::int, case when regexp_matches(published_date, '^\\d{{4}}-\\d{{2}}-\\d{{2}}') then try_cast(left(published_date, 10) as date) end) as day, 'podcast:' || podcast_id as entity
+from episodes left join feed_hosts h using (feed_host) left join day_of on raw = published_date and host_zone = {_ZONED})"""
 _WIN = "win as (select distinct study, entity, window_label, win_start, win_end from (select study, entity, window_label, try_cast(left(trim(win_start), 10) as date) as win_start, try_cast(left(trim(win_end), 10) as date) as win_end from window_targets) where entity is not null and win_start < win_end)"
 _TR = "tr as (select distinct episode_id from transcripts)"
 
@@ -540,7 +549,21 @@ def publishing_gaps(spark, d):
     return catalog.publishing_gaps(dated_episodes(spark, d).filter("entity is not null"))
 
 
-@query(f"with {_COV}, l as (select entity, min(day) as born, max(day) as lst from ep where day is not null group by 1) select study, cov.entity, win_start, win_end, case when n_episodes > 0 then 'filled' when born is null then 'unknown' when win_end <= born then 'before_launch' when win_start > lst then 'after_end' else 'not_publishing' end as verdict from cov left join l using (entity)")
+_NO1 = r"coalesce(try_cast(nullif(regexp_extract(coalesce(title, ''), '{0}', 1), '') as int), try_cast(nullif(regexp_extract(coalesce(title, ''), '{0}', 2), '') as int))".format(catalog._NUMBER.replace("'", "''"))
+_SE1 = r"try_cast(nullif(regexp_extract(coalesce(title, ''), '{0}', 1), '') as int)".format(catalog._SEASON.replace("'", "''"))
+
+
+@query(
+    f"""with {_COV}, held as (select *, min(day) over (partition by entity) as born from ep where day >= date '{catalog.EARLIEST_DAY}' and entity is not null),
+mk as (select entity, day, born, {_NO1} as no, {_SE1} as se, lower(coalesce(episode_type, '')) = 'trailer' as trailer, regexp_matches(coalesce(title, ''), '{catalog._LAUNCH.replace("'", "''")}') as says from held),
+ev as (select entity, bool_or(trailer or (coalesce(no in (0, 1), false) and coalesce(se <= 1, true)) or says) as launch, coalesce(min(no) > 1, false) or coalesce(min(se) > 1, false) as late from mk where day <= born + {catalog.LAUNCH_DAYS} group by 1),
+nth as (select entity, date_diff('day', born, day) > {catalog.ISOLATED_DAYS} as apart from (select *, row_number() over (partition by entity order by day, id) as n from held) where n = {catalog.ISOLATED_RANK} + 1),
+w as (select cov.study, cov.entity, win_start, win_end, n_episodes, min(born) as born, max(case when day < win_start then day end) as p, min(case when day >= win_end then day end) as nx from cov left join held on held.entity = cov.entity group by all),
+f as (select w.*, coalesce(launch, false) as launch, coalesce(late, false) or coalesce(apart, false) as truncated from w left join ev on ev.entity = w.entity left join nth on nth.entity = w.entity)
+select study, entity, win_start, win_end, case when n_episodes > 0 and born <= win_start then 'filled' when born is null then 'unknown'
+ when born >= win_end or n_episodes > 0 then case when truncated then 'missing' when launch then case when n_episodes > 0 then 'launch' else 'before_launch' end else 'unknown' end
+ when p is not null and nx is not null and (truncated or (date_diff('day', p, win_start) <= {catalog.NEAR_DAYS} and date_diff('day', win_end, nx) <= {catalog.NEAR_DAYS})) then 'missing' else 'unknown' end as verdict from f"""
+)
 def classify_windows(spark, d):
     """W22, A26."""
     e = dated_episodes(spark, d)
@@ -838,7 +861,7 @@ def genre_slugs(spark, d):
     return per.groupBy(fn.genre_slug("g").alias("slug")).agg(F.sum("podcasts").alias("podcasts"))
 
 
-@query("select distinct id, case when length(t) > 60 then left(t, 57) || '...' else t end as short from (select id, trim(regexp_replace(regexp_replace(description, '<[^>]+>', ' ', 'g'), '[\\s\\x0B]+', ' ', 'g')) as t from episodes where description is not null)")
+@query("select distinct id, case when length(t) > 1000 then left(t, 997) || '...' else t end as short from (select id, trim(regexp_replace(regexp_replace(description, '<[^>]+>', ' ', 'g'), '[\\s\\x0B]+', ' ', 'g')) as t from episodes where description is not null)")
 def clean_descriptions(spark, d):
     """S21."""
     return read(spark, d, "episodes").filter("description is not null").select("id", fn.clean_html("description").alias("short")).distinct()
@@ -1038,7 +1061,7 @@ def certainty_markers(spark, d):
     return text.certainty_markers(read(spark, d, "documents"), "doc_id", "text")
 
 
-@query("with x as (select doc_id, unnest(list_concat(regexp_extract_all(coalesce(text, ''), '\\b([A-Z][a-z]+(?: [A-Z][a-z]+)+)\\b', 1), regexp_extract_all(lower(coalesce(text, '')), '\\b([a-z0-9]+ dot (?:com|org|net|fm))\\b', 1))) as name from documents where lang = 'en') select doc_id, name, count(*) as n from x group by all")
+@query()
 def name_candidates(spark, d):
     """F22, on all documents, whatever their ``lang`` says."""
     return text.name_candidates(read(spark, d, "documents"), "doc_id", "text")
