@@ -75,8 +75,12 @@ def claim_similarity(a: Column | str, b: Column | str) -> Column:
     return F.when((F.size(x) == 0) | (F.size(y) == 0), (normalized_quote(a) == normalized_quote(b)).cast("double")).otherwise(jaccard(x, y))
 
 
-_RERUN = r"(?i)\b(?:rerun|re-run|repost|rebroadcast|re-air|encore|replay|best of|from the archives?)\b"
-_EPISODE = r"(?i)\b(?:episode|ep\.?)\s*#?\s*\d+\b|#\d+\b"
+# Markers of a second airing, and how titles number episodes.
+_RERUN = (
+    r"(?i)\b(?:re-?broadcast|encore(?: presentation)?|best of|replay|rerun|re-?run|repeat|re-?release[d]?|re-?air(?:ed)?|classic|from the archives?|vault|throwback|revisited|rewind|fbf|flashback|selects|playlist)\b"
+    r"|\(r\)|\[r\]"
+)
+_EPISODE = r"(?i)\b(?:ep(?:isode)?|no)\.?\s*#?\d+\b|^\s*#?\d+\s*[:.\-|]|\|\s*#?\d+\s*$|#\d+|\bs\d+\s*e\d+\b|\bseason \d+,? episode \d+\b"
 
 
 def norm_title(c: Column | str) -> Column:
@@ -98,6 +102,7 @@ def title_numbers(c: Column | str) -> Column:
 
 def leading_number(c: Column | str) -> Column:
     """An episode number that opens a title (no year)."""
+    # Fixed value: the pattern of a leading number.
     return F.regexp_extract(col(c), r"^\s*#?(?!(?:19|20)\d\d\b)(\d{1,4})\s*[:.|\-](?=\s)", 1).try_cast("int")
 
 

@@ -129,7 +129,7 @@ def old_numbers(episodes: DataFrame, gap: int = 15, least: int = 50) -> DataFram
     return e.filter("number is not null").join(top, ["podcast_id", "day"]).filter((F.col("reached") >= least) & (F.col("number") < F.col("reached") - gap)).select("id", "number", "reached")
 
 
-def rerun_of_earlier(episodes: DataFrame, min_days: int = 7, min_seconds: int = 300) -> DataFrame:
+def rerun_of_earlier(episodes: DataFrame, min_days: int = 7, min_seconds: int = 600) -> DataFrame:
     """(id, first_id): episodes whose recording their own show published over ``min_days`` earlier under a containing title.
 
     Durations within max(5 s, 1 %) meet through bands of a 1 % logarithmic

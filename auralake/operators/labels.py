@@ -6,6 +6,8 @@ one transcript, ordered fully by (start, end, window, position).
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -21,6 +23,25 @@ def annotation_islands(atoms: DataFrame) -> DataFrame:
     return i.groupBy(*keys, "island").agg(F.min("span_start").alias("span_start"), F.max("span_end").alias("span_end"), F.count(F.lit(1)).alias("n_sources"), F.max("confidence").alias("confidence")).drop("island")
 
 
+def _fold(items: list[tuple], gap: int, touch: Callable[[tuple, tuple], bool], unite: Callable[[list[tuple]], tuple]) -> list[tuple]:
+    """Groups of items (start, end, ...) in order of start: each item is united with all groups within ``gap`` that it touches.
+
+    A united group takes the place of its first part. Groups that the sweep has
+    left behind are set aside, so an item meets only those still within reach.
+    """
+    near: dict[int, tuple] = {}
+    left: list[tuple] = []
+    for place, item in enumerate(items):
+        for k in [k for k, g in near.items() if g[1] + gap < item[0]]:
+            left.append(near.pop(k))
+        met = [k for k, g in near.items() if touch(g, item)]
+        whole = unite([near[k] for k in met[:1]] + [item] + [near[k] for k in reversed(met[1:])])
+        for k in met[1:]:
+            del near[k]
+        near[met[0] if met else place] = whole
+    return sorted([*left, *near.values()], key=lambda g: g[:2])
+
+
 def merge_detections(rows: DataFrame) -> DataFrame:
     """Detections of one episode and axis that overlap or touch and share a label, transitively.
 
@@ -30,24 +51,16 @@ def merge_detections(rows: DataFrame) -> DataFrame:
     n_detections.
     """
 
+    def touch(g: tuple, x: tuple) -> bool:
+        return not g[2].isdisjoint(x[2])
+
+    def unite(gs: list[tuple]) -> tuple:
+        return (min(g[0] for g in gs), max(g[1] for g in gs), frozenset().union(*(g[2] for g in gs)), sum(g[3] for g in gs))
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        groups: list[list] = []  # [start, end, labels, n], those that later spans can still reach
-        done: list[list] = []
-        for r in pdf.sort_values(["span_start", "span_end", "window_index", "position"]).itertuples():
-            mine = set(r.labels)
-            done += [g for g in groups if g[1] + 1 < r.span_start]
-            groups = [g for g in groups if g[1] + 1 >= r.span_start]
-            hit = [g for g in groups if r.span_start <= g[1] + 1 and mine & g[2]]
-            merged = [r.span_start, r.span_end, mine, 1]
-            for g in hit:
-                merged = [min(merged[0], g[0]), max(merged[1], g[1]), merged[2] | g[2], merged[3] + g[3]]
-            if hit:
-                at = next(k for k, g in enumerate(groups) if g is hit[0])
-                groups[at] = merged
-                groups = [g for g in groups if not any(g is h for h in hit[1:])]
-            else:
-                groups.append(merged)
-        out = [(pdf["episode_id"].iloc[0], pdf["axis"].iloc[0], g[0], g[1], sorted(g[2]), g[3]) for g in sorted(done + groups, key=lambda g: (g[0], g[1]))]
+        x = pdf.sort_values(["span_start", "span_end", "window_index", "position"])
+        groups = _fold([(s, e, frozenset(labels), 1) for s, e, labels in zip(x["span_start"], x["span_end"], x["labels"])], 1, touch, unite)
+        out = [(pdf["episode_id"].iloc[0], pdf["axis"].iloc[0], s, e, sorted(labels), n) for s, e, labels, n in groups]
         return pd.DataFrame(out, columns=["episode_id", "axis", "span_start", "span_end", "labels", "n_detections"])
 
     return rows.groupBy("episode_id", "axis").applyInPandas(run, "episode_id long, axis string, span_start long, span_end long, labels array<string>, n_detections int")
@@ -76,27 +89,18 @@ def merge_claims(rows: DataFrame, least: float = 0.55) -> DataFrame:
     scanning in the order (start, end, window_index, position).
     """
 
+    # a group is (start, end, its best version as (claim, quote, confidence), versions)
+    def touch(g: tuple, x: tuple) -> bool:
+        return g[0] <= x[1] and (_quote(g[2][1]) == _quote(x[2][1]) or claims_alike(x[2][0], g[2][0]) >= least)
+
+    def unite(gs: list[tuple]) -> tuple:
+        return (min(g[0] for g in gs), max(g[1] for g in gs), max((g[2] for g in gs), key=lambda v: v[2]), sum(g[3] for g in gs))
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        groups: list[dict] = []  # those that later spans can still overlap
-        done: list[dict] = []
-        for r in pdf.sort_values(["span_start", "span_end", "window_index", "position"]).to_dict("records"):
-            done += [g for g in groups if g["end"] < r["span_start"]]
-            groups = [g for g in groups if g["end"] >= r["span_start"]]
-            hit = [g for g in groups if r["span_start"] <= g["end"] and g["start"] <= r["span_end"] and (_quote(r["quote"]) == _quote(g["best"]["quote"]) or claims_alike(r["claim"], g["best"]["claim"]) >= least)]
-            if not hit:
-                groups.append({"start": r["span_start"], "end": r["span_end"], "best": r, "n": 1})
-                continue
-            g = hit[0]
-            g["start"], g["end"], g["n"] = min(g["start"], r["span_start"]), max(g["end"], r["span_end"]), g["n"] + 1
-            if r["confidence"] > g["best"]["confidence"]:
-                g["best"] = r
-            for o in reversed(hit[1:]):
-                g["start"], g["end"], g["n"] = min(g["start"], o["start"]), max(g["end"], o["end"]), g["n"] + o["n"]
-                if o["best"]["confidence"] > g["best"]["confidence"]:
-                    g["best"] = o["best"]
-                groups = [x for x in groups if x is not o]
-        key = (pdf["episode_id"].iloc[0], pdf["role"].iloc[0])
-        out = [(*key, g["start"], g["end"], g["best"]["claim"], g["best"]["confidence"], g["n"]) for g in sorted(done + groups, key=lambda g: (g["start"], g["end"]))]
+        x = pdf.sort_values(["span_start", "span_end", "window_index", "position"])
+        versions = zip(x["claim"], x["quote"], x["confidence"])
+        groups = _fold([(s, e, v, 1) for s, e, v in zip(x["span_start"], x["span_end"], versions)], 0, touch, unite)
+        out = [(pdf["episode_id"].iloc[0], pdf["role"].iloc[0], s, e, v[0], v[2], n) for s, e, v, n in groups]
         return pd.DataFrame(out, columns=["episode_id", "role", "span_start", "span_end", "claim", "confidence", "n_candidates"])
 
     return rows.groupBy("episode_id", "role").applyInPandas(run, "episode_id long, role string, span_start long, span_end long, claim string, confidence double, n_candidates int")

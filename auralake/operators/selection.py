@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 from difflib import SequenceMatcher
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from auralake.functions.scalar import norm_title, title_key
 
@@ -28,12 +29,11 @@ def select_with_caps(candidates: DataFrame, cap: int) -> DataFrame:
     candidates: entity, win_start, episode_id, day, own (boolean), done (boolean).
     """
 
-    def spread(rows: list, n: int) -> list:
-        rows = sorted(rows, key=lambda r: (r[1], r[0]))
-        if n >= len(rows):
-            return rows
-        step = len(rows) / n if n > 0 else 1
-        return [rows[int(i * step + step / 2)] for i in range(max(n, 0))]
+    def centres(pool: list, n: int) -> list:
+        """The middle one of each of ``n`` equal parts of the pool in order of time; all of a pool that isn't larger."""
+        inorder = sorted(pool, key=lambda r: (r[1], r[0]))
+        m = len(inorder)
+        return inorder if m <= n else [inorder[m * odd // (2 * n)] for odd in range(1, 2 * n, 2)]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         taken, out, entity = set(), [], pdf["entity"].iloc[0]
@@ -43,7 +43,7 @@ def select_with_caps(candidates: DataFrame, cap: int) -> DataFrame:
             for own in (True, False):
                 for done in (True, False):
                     pool = list({r[0]: r for r in free if bool(r[2]) == own and bool(r[3]) == done and r[0] not in {p[0] for p in picked}}.values())
-                    picked += spread(pool, cap - len(picked))
+                    picked += centres(pool, max(0, cap - len(picked)))
             taken |= {r[0] for r in picked}
             out += [(entity, start, r[0], i) for i, r in enumerate(sorted(picked, key=lambda r: (r[1], r[0])), 1)]
         return pd.DataFrame(out, columns=["entity", "win_start", "episode_id", "priority"])
@@ -121,31 +121,31 @@ def title_ratio(a: str, b: str) -> float:
     return SequenceMatcher(None, a, b).ratio()
 
 
-def _same(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        keep = []
-        for a, b, days, da, db in zip(pdf["na"], pdf["nb"], pdf["days"], pdf["da"], pdf["db"]):
-            near = abs(len(a) - len(b)) <= 0.1 * max(len(a), len(b)) and title_ratio(a, b) >= 0.9
-            inside = (a in b or b in a) and (min(len(a), len(b)) >= 12 or da == db or days <= 7)
-            keep.append(near or inside)
-        yield pdf.loc[keep, ["id", "first_id", "first_day"]]
+@F.pandas_udf(T.DoubleType())
+def _ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([title_ratio(x, y) for x, y in zip(a, b)], dtype="float64")
 
 
-def reposts(episodes: DataFrame, min_seconds: int = 300) -> DataFrame:
+def reposts(episodes: DataFrame, min_seconds: int = 600) -> DataFrame:
     """(id, first_id): episodes that another podcast published earlier: durations at most a second apart and nearly equal or contained titles.
 
     Probes explode to three durations, an equi-join; cheap conditions (order,
-    lengths, a shared beginning or end of 4 characters) run before the ratio.
+    lengths, containment) run before the ratio, which is taken only of titles of
+    like length that don't contain each other.
     """
     e = episodes.filter(F.col("day").isNotNull() & F.col("podcast_id").isNotNull() & (F.col("duration_seconds") > min_seconds)).select("id", "podcast_id", "day", "duration_seconds", norm_title("title").alias("n")).filter(F.length("n") >= 8)
     x = e.withColumn("d", F.explode(F.array(*[F.col("duration_seconds") + k for k in (-1, 0, 1)]))).alias("x")
     r = e.alias("r")
     la, lb = F.length("x.n"), F.length("r.n")
-    maybe = (F.abs(la - lb) <= 0.1 * F.greatest(la, lb)) | F.col("x.n").contains(F.col("r.n")) | F.col("r.n").contains(F.col("x.n"))
+    days, equal = F.date_diff("x.day", "r.day"), F.col("x.duration_seconds") == F.col("r.duration_seconds")
+    within = (F.col("x.n").contains(F.col("r.n")) | F.col("r.n").contains(F.col("x.n"))) & ((F.least(la, lb) >= 12) | equal | (days <= 7))
+    like = F.abs(la - lb) * 10 <= F.greatest(la, lb)
     earlier = (F.col("r.day") < F.col("x.day")) | ((F.col("r.day") == F.col("x.day")) & (F.col("r.id") < F.col("x.id")))
-    j = x.join(r, F.col("x.d") == F.col("r.duration_seconds")).filter((F.col("x.podcast_id") != F.col("r.podcast_id")) & earlier & maybe)
-    j = j.select(F.col("x.id").alias("id"), F.col("r.id").alias("first_id"), F.col("r.day").alias("first_day"), F.col("x.n").alias("na"), F.col("r.n").alias("nb"), F.date_diff("x.day", "r.day").alias("days"), F.col("x.duration_seconds").alias("da"), F.col("r.duration_seconds").alias("db"))
-    hit = j.mapInPandas(_same, "id long, first_id long, first_day date")
+    j = x.join(r, F.col("x.d") == F.col("r.duration_seconds")).filter((F.col("x.podcast_id") != F.col("r.podcast_id")) & earlier & (within | like))
+    j = j.select(F.col("x.id").alias("id"), F.col("r.id").alias("first_id"), F.col("r.day").alias("first_day"), F.col("x.n").alias("na"), F.col("r.n").alias("nb"), within.alias("within"))
+    sure = j.filter("within").select("id", "first_id", "first_day")
+    near = j.filter("not within").filter(_ratio("na", "nb") >= 0.9).select("id", "first_id", "first_day")
+    hit = sure.unionByName(near)
     return hit.groupBy("id").agg(F.min_by("first_id", F.struct("first_day", "first_id")).alias("first_id"))
 
 

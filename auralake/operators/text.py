@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator, Mapping
+from itertools import accumulate, groupby
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -13,8 +15,10 @@ from pyspark.sql import types as T
 
 from auralake.operators.scan import HOT_ROWS, assign_chunks, running
 
+# Where sentences part, a speaker before a text, and a speaker label of a publisher's transcript.
 SENTENCE_GAP = r"""(?<=[.!?])\s+(?=[A-Z"'(\[])"""
-SPEAKER_PREFIX = r"^\s*(?:\[?[A-Z][A-Za-z0-9 .'-]{0,40}\]?):\s+"
+SPEAKER_PREFIX = r"^\s*(?:Speaker\s*\d+|[A-Z][A-Za-z .'-]{1,40})\s*:\s+"
+SPEAKER_LABEL = r"(?i)^(?:speaker\s*\d+|[A-Z][A-Za-z.'-]{1,30})\s*:"
 _REGEX_CHARS = set("\\[](){}?*+|^$")
 #: Sections whose labels are nested; in others the section is its own label.
 NESTED = ("topics", "frames", "evidence", "narratives", "products", "certainty")
@@ -199,20 +203,16 @@ def window_bounds(words: list[int], size: int, overlap: int) -> list[tuple[int,
     """Half-open unit ranges of overlapping windows of at least ``size`` words."""
     if not 0 <= overlap < size:
         raise ValueError("the size must exceed the overlap, which is not negative")
-    out, start, n = [], 0, len(words)
-    while start < n:
-        end, total = start, 0
-        while end < n and (end == start or total < size):
-            total += words[end]
-            end += 1
-        out.append((start, end))
-        if end == n:
+    upto = [0, *accumulate(words)]  # words before each unit
+    n, out = len(words), []
+    first = 0
+    while not out or out[-1][1] < n:
+        if n == 0:
             break
-        back, kept = end, 0
-        while back - 1 > start and kept < overlap:
-            back -= 1
-            kept += words[back]
-        start = max(start + 1, back)
+        last = min(n, max(first + 1, bisect_left(upto, upto[first] + size)))
+        out.append((first, last))
+        # the next window takes units back until these hold the overlap
+        first = max(first + 1, min(last, bisect_right(upto, upto[last] - overlap) - 1))
     return out
 
 
@@ -240,21 +240,29 @@ def has_speaker_labels(segments: DataFrame) -> DataFrame:
     """(episode_id, labelled): at least max(2, a quarter) of the first 50 segments begin with a speaker."""
     w = W.partitionBy("episode_id").orderBy("seg_index")
     first = segments.withColumn("__r", F.row_number().over(w)).filter("__r <= 50")
-    agg = first.groupBy("episode_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.coalesce(F.col("text"), F.lit("")).rlike(SPEAKER_PREFIX)).alias("k"))
+    agg = first.groupBy("episode_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.coalesce(F.col("text"), F.lit("")).rlike(SPEAKER_LABEL)).alias("k"))
     return agg.select("episode_id", (F.col("k") >= F.greatest(F.lit(2), F.floor(F.col("n") / 4))).alias("labelled"))
 
 
+# Words a minute (and the least limit), words of the tail and their least number, share of one word, words of a repeated run, and from how many words, share of repeats.
+WORDS_A_MINUTE, LEAST_LIMIT, TAIL, LEAST_TAIL, RULED, RUN, LEAST_FOR_RUNS, REPEATED = 300, 50, 200, 50, 0.6, 5, 30, 0.5
+
+
 def implausible(df: DataFrame, key: str, text: str, seconds: str) -> DataFrame:
-    """(key, implausible): over 300 words a minute (from 50 words), a tail ruled by one word, or half the 5-grams repeated."""
-    words = F.filter(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"\s+"), lambda w: w != "")
-    t = df.select(key, F.col(seconds).alias("__s"), words.alias("w")).withColumn("n", F.size("w"))
-    tail = F.slice("w", F.greatest(F.col("n") - 199, F.lit(1)), 200)
+    """(key, implausible): more words than can be said in the time, a tail ruled by one word, or half the 5-grams repeated.
+
+    Words are runs of letters and digits, so signs part them as blanks do. An
+    unknown duration counts as none: then at most the least limit is plausible.
+    """
+    words = F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(r"([\p{L}\p{N}]+(?:['’][\p{L}\p{N}]+)?)"), F.lit(1))
+    t = df.select(key, F.coalesce(F.col(seconds), F.lit(0.0)).alias("__s"), words.alias("w")).withColumn("n", F.size("w"))
+    tail = F.slice("w", F.greatest(F.col("n") - TAIL + 1, F.lit(1)), TAIL)
     most = F.array_max(F.transform(F.array_distinct(tail), lambda x: F.size(F.filter(tail, lambda y: y == x))))
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.col("n") - 4, F.lit(1))), lambda i: F.array_join(F.slice("w", i, 5), " "))
-    fast = (F.col("n") >= 50) & (F.col("__s") > 0) & (F.col("n") * 60 > 300 * F.col("__s"))
-    ruled = (F.col("n") >= 200) & (most >= 0.6 * 200)
-    repeated = (F.col("n") >= 50) & (F.size(F.array_distinct(grams)) <= 0.5 * F.size(grams))
-    return t.select(key, F.coalesce(fast, F.lit(False)).__or__(F.coalesce(ruled, F.lit(False))).__or__(repeated).alias("implausible"))
+    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.col("n") - RUN + 1, F.lit(1))), lambda i: F.array_join(F.slice("w", i, RUN), " "))
+    fast = F.col("n") > F.greatest(F.lit(LEAST_LIMIT), F.ceil(F.col("__s") / 60 * WORDS_A_MINUTE))
+    ruled = (F.size(tail) >= LEAST_TAIL) & (most >= RULED * F.size(tail))
+    repeated = (F.col("n") >= LEAST_FOR_RUNS) & (1 - F.size(F.array_distinct(grams)) / F.size(grams) >= REPEATED)
+    return t.select(key, (F.coalesce(fast, F.lit(False)) | F.coalesce(ruled, F.lit(False)) | repeated).alias("implausible"))
 
 
 def edit_rate(ref: list[str], hyp: list[str]) -> float | None:
@@ -383,16 +391,13 @@ def name_candidates(df: DataFrame, key: str, text: str) -> DataFrame:
 
 def claim_runs(flags: list[bool], ends: list[bool], most: int) -> list[tuple[int, int]]:
     """Greedy runs of flagged units: a run grows to ``most`` units and stops behind a sentence's end."""
-    out, i = [], 0
-    while i < len(flags):
-        if not flags[i]:
-            i += 1
-            continue
-        j = i
-        while j + 1 < len(flags) and flags[j + 1] and not ends[j] and j - i + 1 < most:
-            j += 1
-        out.append((i, j))
-        i = j + 1
+    # a stretch begins behind a unit without a flag or a sentence's end; each is cut into runs of ``most``
+    heads = [k == 0 or not flags[k - 1] or ends[k - 1] for k in range(len(flags))]
+    stretch = list(accumulate(map(int, heads)))
+    out = []
+    for _, units in groupby((k for k, f in enumerate(flags) if f), key=stretch.__getitem__):
+        held = list(units)
+        out += [(held[k], held[min(k + most, len(held)) - 1]) for k in range(0, len(held), most)]
     return out
 
 

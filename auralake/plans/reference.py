@@ -71,7 +71,8 @@ def windows(spark: SparkSession, d: str) -> DataFrame:
 
 
 _SEG = "seg as (select distinct * from transcript_segments)"
-_SPK = "'^\\s*(?:\\[?[A-Z][A-Za-z0-9 .''-]{0,40}\\]?):\\s+'"
+_SPK = "'^\\s*(?:Speaker\\s*\\d+|[A-Z][A-Za-z .''-]{1,40})\\s*:\\s+'"
+_LABEL = "'(?i)^(?:speaker\\s*\\d+|[A-Z][A-Za-z.''-]{1,30})\\s*:'"
 _SENT = (
     _SEG
     + f""", body as (select episode_id, seg_index, start_s, end_s, regexp_matches(coalesce(text, ''), {_SPK}) as pre, regexp_replace(coalesce(text, ''), {_SPK}, '') as b from seg),
@@ -170,7 +171,7 @@ def corpus_sample(spark, d):
     return sampling.bottom_k(hits, 50, "s1", "doc_id").select("doc_id", "score")
 
 
-@query(f"with {_SEG}, r as (select *, row_number() over (partition by episode_id order by seg_index) as r from seg) select episode_id, count(*) filter (regexp_matches(coalesce(text, ''), {_SPK})) >= greatest(2, count(*) // 4) as labelled from r where r <= 50 group by 1")
+@query(f"with {_SEG}, r as (select *, row_number() over (partition by episode_id order by seg_index) as r from seg) select episode_id, count(*) filter (regexp_matches(coalesce(text, ''), {_LABEL})) >= greatest(2, count(*) // 4) as labelled from r where r <= 50 group by 1")
 def speaker_label_flags(spark, d):
     """S5."""
     return text.has_speaker_labels(segments(spark, d))
@@ -201,9 +202,10 @@ def episode_exposure(spark, d):
 
 
 @query(f"""with {_SEG}, t as (select episode_id, count(*) as n, max(end_s) as s, string_agg(coalesce(text, ''), ' ' order by seg_index) as body from seg group by 1),
-w as (select episode_id, s, list_filter(regexp_split_to_array(lower(body), '[\\s\\x0B]+'), lambda x: x <> '') as w from t)
-select episode_id, coalesce(len(w) >= 50 and s > 0 and len(w) * 60 > 300 * s, false) or coalesce(len(w) >= 200 and list_max(list_transform(list_distinct(w[greatest(len(w) - 199, 1):]), lambda x: len(list_filter(w[greatest(len(w) - 199, 1):], lambda y: y = x)))) >= 120, false)
- or (len(w) >= 50 and len(list_distinct(list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda i: array_to_string(w[i:i + 4], ' ')))) <= 0.5 * greatest(len(w) - 4, 1)) as implausible from w""")
+w as (select episode_id, coalesce(s, 0) as s, regexp_extract_all(lower(body), '[\\p{{L}}\\p{{N}}]+(?:[''’][\\p{{L}}\\p{{N}}]+)?') as w from t),
+v as (select *, w[greatest(len(w) - 199, 1):] as tl from w)
+select episode_id, len(w) > greatest(50, ceil(s / 60 * 300)) or coalesce(len(tl) >= 50 and list_max(list_transform(list_distinct(tl), lambda x: len(list_filter(tl, lambda y: y = x)))) >= 0.6 * len(tl), false)
+ or (len(w) >= 30 and 1 - len(list_distinct(list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda i: array_to_string(w[i:i + 4], ' ')))) / greatest(len(w) - 4, 1)::double >= 0.5) as implausible from v""")
 def implausible_transcripts(spark, d):
     """texts are put together per transcript, in the order of segments."""
     t = segments(spark, d).groupBy("episode_id").agg(F.max("end_s").alias("seconds"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seg_index", F.coalesce("text", F.lit("")).alias("t")))), lambda x: x["t"]), " ").alias("body"))
@@ -499,8 +501,9 @@ def membership_diff(spark, d):
     return catalog.membership_diff(w.filter("study = 'corpus_full'"), w.filter("study = 'monthly_top'"), ["entity", "window_label"], ["s", "e"])
 
 
-_RR = "\\b(?:rerun|re-run|repost|rebroadcast|re-air|encore|replay|best of|from the archives?)\\b"
-_NORM = "regexp_replace(regexp_replace(regexp_replace(lower(coalesce({0}, '')), '" + _RR + "', ' ', 'g'), '\\b(?:episode|ep\\.?)\\s*#?\\s*\\d+\\b|#\\d+\\b', ' ', 'g'), '[^a-z0-9]+', '', 'g')"
+_RR = "\\b(?:re-?broadcast|encore(?: presentation)?|best of|replay|rerun|re-?run|repeat|re-?release[d]?|re-?air(?:ed)?|classic|from the archives?|vault|throwback|revisited|rewind|fbf|flashback|selects|playlist)\\b|\\(r\\)|\\[r\\]"
+_EPNO = "\\b(?:ep(?:isode)?|no)\\.?\\s*#?\\d+\\b|^\\s*#?\\d+\\s*[:.\\-|]|\\|\\s*#?\\d+\\s*$|#\\d+|\\bs\\d+\\s*e\\d+\\b|\\bseason \\d+,? episode \\d+\\b"
+_NORM = "regexp_replace(regexp_replace(regexp_replace(lower(coalesce({0}, '')), '" + _RR + "', ' ', 'g'), '" + _EPNO + "', ' ', 'g'), '[^a-z0-9]+', '', 'g')"
 _NUMS = "list_sort(list_distinct(list_transform(list_filter(regexp_extract_all(coalesce({0}, ''), '\\d+'), lambda n: not regexp_matches(n, '^(19|20)\\d\\d$')), lambda n: regexp_replace(n, '^0+', ''))))"
 _MARK = "regexp_matches(lower(coalesce({0}, '')), '" + _RR + "')"
 
@@ -528,7 +531,7 @@ def old_numbers(spark, d):
 
 
 @query(
-    f"""with {_EP}, e as (select id, podcast_id, title, day, duration_seconds as s, {_NORM.format('title')} as norm, {_NUMS.format('title')} as nums, {_MARK.format('title')} as mark from ep where day is not null and duration_seconds > 300), f as (select * from e where length(norm) >= 12),
+    f"""with {_EP}, e as (select id, podcast_id, title, day, duration_seconds as s, {_NORM.format('title')} as norm, {_NUMS.format('title')} as nums, {_MARK.format('title')} as mark from ep where day is not null and duration_seconds > 600), f as (select * from e where length(norm) >= 12),
 j as (select x.id, y.id as first_id, row_number() over (partition by x.id order by y.day, y.id) as n from f x join f y on x.podcast_id = y.podcast_id and y.day < x.day - 7 and abs(x.s - y.s) <= greatest(5, floor(0.01 * x.s)) and (contains(x.norm, y.norm) or contains(y.norm, x.norm)) and x.nums = y.nums and (x.norm <> y.norm or abs(x.s - y.s) <= 2 or (x.mark and not y.mark)))
 select id, first_id from j where n = 1"""
 )
