@@ -183,14 +183,15 @@ _SHORT = 60
 _OPEN = "\x01"
 
 
-def vocabulary(titles: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(word, score, place, loose) and (word, other) of the words of ``titles`` (columns words, cut).
-
-    ``other`` are the words that may stand for a word in another title: those an
-    edit apart, and cut-off words that begin it (marked). ``score`` counts the
-    records that hold the word or one of these. ``place`` is the common spelling
-    among the words an edit apart; a word is loose if one of these has another.
-    Both are of the size of the vocabulary, not of the records.
+def vocabulary(titles: DataFrame) -> DataFrame:
+    """(word, score, place, loose, asked) of the words of ``titles`` (columns words, cut).
+
+    Others may stand for a word in another title: those an edit apart, and cut-off
+    words that begin it (marked). ``score`` counts the records that hold the word
+    or one of these. ``place`` is the hash of the common spelling among the words
+    an edit apart; a word is loose if one of these has another. ``asked`` are the
+    places at which what may stand for the word is found. The table is of the
+    size of the vocabulary, not of the records.
     """
     c = F.col
     ends = F.when(c("cut") & (F.size("words") > 0), F.array(F.concat(F.element_at("words", -1), F.lit(_OPEN)))).otherwise(F.array().cast("array<string>"))
@@ -212,12 +213,14 @@ def vocabulary(titles: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     best = plain.select("word", F.struct("df", "word").alias("b")).unionByName(near_.select("word", F.struct(c("other_df").alias("df"), c("other").alias("word")).alias("b")))
     place = best.groupBy("word").agg(F.max("b").alias("b")).select("word", F.xxhash64("b.word").alias("place"))
-    loose = near_.join(place, "word").join(place.select(c("word").alias("other"), c("place").alias("other_place")), "other").filter("place <> other_place").select("word").distinct().withColumn("loose", F.lit(1))
+    place = place.unionByName(vocab.filter(c("word").endswith(_OPEN)).select("word", F.xxhash64("word").alias("place")))
     stands = near_.unionByName(begun.drop("begin")).unionByName(completes)
-    more = stands.groupBy("word").agg(F.sum("other_df").alias("more"))
-    scores = vocab.join(more, "word", "left").join(place, "word", "left").join(loose, "word", "left")
-    scores = scores.select("word", (c("df") + F.coalesce("more", F.lit(0))).alias("score"), "place", F.coalesce("loose", F.lit(0)).alias("loose"))
-    return written(scores, "scores"), written(stands.select("word", "other"), "stands")
+    there = stands.join(place.select(c("word").alias("other"), c("place").alias("other_place")), "other").groupBy("word").agg(F.sum("other_df").alias("more"), F.collect_set("other_place").alias("places"))
+    strange = near_.join(place, "word").join(place.select(c("word").alias("other"), c("place").alias("other_place")), "other").filter("place <> other_place").select("word").distinct().withColumn("loose", F.lit(1))
+    scores = vocab.join(place, "word").join(there, "word", "left").join(strange, "word", "left")
+    return written(scores.select(
+        "word", (c("df") + F.coalesce("more", F.lit(0))).alias("score"), "place", F.coalesce("loose", F.lit(0)).alias("loose"),
+        F.array_distinct(F.concat(F.array("place"), F.coalesce("places", F.array().cast("array<long>")))).alias("asked")), "scores")
 
 
 def _lookups(n: Column, cut: Column) -> Column:
@@ -258,40 +261,36 @@ def recordings(episodes: DataFrame, podcasts: DataFrame, hosts: DataFrame) -> tu
     linkable = c("utc").isNotNull() & (F.size("words") > 0)
     same = F.md5(F.concat_ws("\x02", F.array_join(F.array_sort("words"), " "), tail, *[F.coalesce(c(x).cast("string"), F.lit("")) for x in ("number", "part", "cut", "utc", "duration")]))
     read = read.withColumn("key", F.when(linkable, same).otherwise(F.concat(F.lit("single-"), c("id").cast("string")))).withColumn("dated", linkable)
-    scores, stands = vocabulary(read.filter("dated").select("words", "cut"))
+    scores = vocabulary(read.filter("dated").select("words", "cut"))
 
-    # one row per class: its rarest words to look up, and its ring
+    # one row per class: where to look its rarest words up, where it is found, and its ring
     one = read.groupBy("key").agg(F.min("id").alias("rep"), F.min_by(F.struct("words", "number", "part", "cut", "utc", "duration", "dated"), "id").alias("r")).select("key", "rep", "r.*")
-    word = one.filter("dated").select("key", "words", "cut", F.explode(F.array_distinct("words")).alias("word")).withColumn("times", F.size(F.filter("words", lambda w: w == c("word")))).withColumn("last", c("cut") & (F.element_at("words", -1) == c("word")))
-    word = word.drop("words", "cut").join(broadcast_if_small(scores), "word")
-    item = F.struct((c("last") & (c("times") == 1)).alias("avoid"), "score", "word", "times")
-    rings = word.groupBy("key").agg(F.array_sort(F.collect_list(item)).alias("items"), F.bit_or(F.expr("shiftleft(1L, cast(pmod(place, 64) as int))")).alias("bits"), F.sum(c("loose") * c("times")).alias("loose"))
+    alone = c("cut") & (F.size("words") == 1)
+    open_word = F.concat(F.element_at("words", -1), F.lit(_OPEN))
+    word = one.filter("dated").select("key", "words", "cut", F.explode(F.array_distinct(F.when(c("cut"), F.concat("words", F.array(open_word))).otherwise(c("words")))).alias("word"))
+    word = word.select("key", "word", F.size(F.filter("words", lambda w: w == c("word"))).alias("times"), (c("cut") & (F.element_at("words", -1) == c("word"))).alias("last"), c("word").endswith(_OPEN).alias("open"))
+    word = word.join(broadcast_if_small(scores), "word")
+    item = F.struct((c("open") | c("last") & (c("times") == 1)).alias("avoid"), "score", "place", "times", "asked")
+    rings = word.groupBy("key").agg(F.array_sort(F.collect_list(item)).alias("items"), F.bit_or(F.when(~c("open"), F.expr("shiftleft(1L, cast(pmod(place, 64) as int))"))).alias("bits"), F.sum(c("loose") * c("times")).alias("loose"))
     n = F.size("words")
-    upto = F.aggregate("items", F.struct(F.lit(0).cast("long").alias("sum"), F.array().cast("array<string>").alias("w")), lambda acc, x: F.struct(
-        (acc["sum"] + F.greatest(x["times"], F.lit(1))).cast("long").alias("sum"), F.when(acc["sum"] < c("lookups"), F.concat(acc["w"], F.array(x["word"]))).otherwise(acc["w"]).alias("w")))["w"]
-    reps = one.join(rings, "key", "left").withColumn("lookups", _lookups(n, c("cut"))).withColumn("probes", upto)
+    upto = F.aggregate("items", F.struct(F.lit(0).cast("long").alias("sum"), F.array().cast("array<long>").alias("w")), lambda acc, x: F.struct(
+        (acc["sum"] + F.greatest(x["times"], F.lit(1))).cast("long").alias("sum"), F.when(acc["sum"] < c("lookups"), F.concat(acc["w"], x["asked"])).otherwise(acc["w"]).alias("w")))["w"]
+    reps = one.join(rings, "key", "left").withColumn("lookups", F.when(alone, 2).otherwise(_lookups(n, c("cut")))).withColumn("probes", F.array_distinct(upto)).withColumn("places", F.array_distinct(F.transform("items", lambda x: x["place"])))
     reps = reps.withColumn("tau", (n - F.ceil(F.lit(LEAST) * n) + c("loose") + c("cut").cast("int")).cast("int"))
-    reps = written(reps.select("key", "rep", "dated", "words", "number", "part", "cut", "utc", "duration", "bits", "tau", "probes"), "classes")
+    reps = written(reps.select("key", "rep", "dated", "words", "number", "part", "cut", "utc", "duration", "bits", "tau", "probes", "places"), "classes")
     members = read.select("id", "key").join(reps.select("key", "rep", "dated"), "key").select("id", "rep", "dated")
 
     span, day = DAYS * 86400, TIME_BAND * 86400
-    body = ["rep", "utc", "duration", "number", "part", "bits", n.alias("n"), "cut"]
-    dated = reps.filter("dated")
-    length = lambda x: F.floor(F.log(x.cast("double")) / LENGTH_BAND).cast("long")
+    body = ["rep", "utc", "duration", "number", "part", "bits", "n", "cut"]
+    dated = reps.filter("dated").withColumn("n", n)
+    length = lambda x: F.floor(F.log1p(x.cast("double")) / LENGTH_BAND).cast("long")
     known = c("duration").isNotNull()
-    open_word = F.when(c("cut"), F.array(F.concat(F.element_at("words", -1), F.lit(_OPEN)))).otherwise(F.array().cast("array<string>"))
-    # band -1: records of unknown duration; -2: all records (only looked up by those)
-    index = dated.select(*body, F.explode(F.array_distinct(F.concat("words", open_word))).alias("w"), F.floor(c("utc") / day).alias("at"))
-    index = index.select("*", F.explode(F.when(known, F.array(length(c("duration")), F.lit(-2).cast("long"))).otherwise(F.array(F.lit(-1).cast("long"), F.lit(-2).cast("long")))).alias("band"))
-    index = index.select(F.xxhash64("w", "at", "band").alias("k"), *[c(x) for x in ("rep", "utc", "duration", "number", "part", "bits", "n", "cut")])
-
-    ask = dated.select("rep", "utc", "duration", "number", "part", "bits", n.alias("n"), "cut", "tau", F.explode("probes").alias("w"))
-    alone = c("cut") & (c("n") == 1)
-    ask = ask.withColumn("w", F.explode(F.when(alone, F.array(c("w"), F.concat("w", F.lit(_OPEN)))).otherwise(F.array("w"))))
-    others = broadcast_if_small(stands)
-    ask = ask.unionByName(ask.join(others, ask["w"] == others["word"]).drop("w", "word").withColumnRenamed("other", "w"))
-    near_bands = F.array_distinct(F.array(length(c("duration") * (1 - SHARE) - 1), length(c("duration")), length(c("duration") / (1 - SHARE) + 1), F.lit(-1).cast("long")))
-    ask = ask.withColumn("band", F.explode(F.when(known, near_bands).otherwise(F.array(F.lit(-2).cast("long")))))
+    # band -1: records of unknown duration, asked for by all; -2: all records, asked for by those
+    index = dated.select(*body, F.explode("places").alias("w"), F.floor(c("utc") / day).alias("at"))
+    index = index.withColumn("band", F.explode(F.when(known, F.array(length(c("duration")), F.lit(-2).cast("long"))).otherwise(F.array(F.lit(-1).cast("long"), F.lit(-2).cast("long")))))
+    index = index.select(F.xxhash64("w", "at", "band").alias("k"), *body)
+    near_bands = F.concat(F.sequence(length(c("duration") * (1 - SHARE) - 0.01), length(c("duration") / (1 - SHARE) + 0.01)), F.array(F.lit(-1).cast("long")))
+    ask = dated.select(*body, "tau", F.explode("probes").alias("w")).withColumn("band", F.explode(F.when(known, near_bands).otherwise(F.array(F.lit(-2).cast("long")))))
     ask = ask.withColumn("at", F.explode(F.array_distinct(F.array(F.floor((c("utc") - span) / day), F.floor((c("utc") + span) / day)))))
     ask = ask.select(F.xxhash64("w", "at", "band").alias("k"), *[c(x).alias(f"x_{x}") for x in ("rep", "utc", "duration", "number", "part", "bits", "n", "cut", "tau")])
 
