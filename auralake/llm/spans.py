@@ -24,6 +24,8 @@ LIMIT, OVERLAP = 600, 60
 PENALTY = {"line": 0.0, "sentence": 0.3, "word": 4.0, "none": 20.0}
 #: Penalty of an overlap that is lost whole: more than a sentence's end costs, less than a cut between words.
 LOST = 1.5
+#: Two cuts inside one unbroken run are at least the limit divided by this apart.
+APART = 8
 KINDS = ("whole", "sentence", "word", "none")
 
 _SENTENCE_END = re.compile(r"[.!?।॥](?=\s|$)|[。！？]|[\n\r\v\f\x85  ]")
@@ -107,31 +109,46 @@ def split(body: str, limit: int = LIMIT, overlap: int = OVERLAP) -> tuple[list[t
     if many:
         import numpy as np
 
-        full_, begins_, cost_ = np.array(full), np.array(begins), np.full(m, np.inf)
+        full_, begins_, ends_, cost_ = np.array(full), np.array(begins), np.array(ends), np.full(m, np.inf)
+        lost_ = LOST * np.maximum(0, ends_ - full_) / max(1, overlap)
+        plain = np.flatnonzero(~np.array(in_run))
     # cost and choice of the best division whose last piece ends at marks[i]
     cost = [float("inf")] * m
     back = [-2] * m
-    lo = 0
-    for i in range(m):
+    lo = i = tight = 0
+    per_lost = LOST / max(1, overlap)
+    while i < m:
         end = ends[i]
+        if many and in_run[i]:
+            # a stretch of places in one unbroken run at once, from the marks before it
+            k = i + 1
+            while k < m and in_run[k] and ends[k] - end < limit // APART:
+                k += 1
+            while lo < i and end - begins[lo] > limit:
+                lo += 1
+            at = ends_[i:k]
+            best_, choice_ = np.where(at <= limit, ((at - target) * scale) ** 2, np.inf), np.full(k - i, -1)
+            before = plain[(plain >= lo) & (plain < i)]
+            for js, starts, extra in ((np.arange(lo, i), full_[lo:i], 0.0), (before, begins_[before], lost_[before])):
+                if len(js):
+                    size = at[:, None] - starts[None, :]
+                    c_ = np.where(size > limit, np.inf, (cost_[js] + extra)[None, :] + ((size - target) * scale) ** 2)
+                    j_ = c_.argmin(axis=1)
+                    c_ = c_[np.arange(k - i), j_]
+                    better = c_ < best_
+                    best_, choice_ = np.where(better, c_, best_), np.where(better, js[j_], choice_)
+            cost_[i:k] = best_ + PENALTY["none"]
+            cost[i:k] = cost_[i:k].tolist()
+            back[i:k] = choice_.tolist()
+            i = k
+            continue
         best, choice = float("inf"), -2
         if end <= limit:
             best, choice = ((end - target) / limit) ** 2, -1
         while lo < i and end - begins[lo] > limit:
             lo += 1
-        tight = lo  # behind it the whole overlap has room
+        tight = max(tight, lo)  # behind it the whole overlap has room
         while tight < i and end - full[tight] > limit:
-            j = tight
-            if in_run[j]:  # the next character is as good a cut and leaves more room
-                tight += 1
-                continue
-            if cost[j] >= best:
-                tight += 1
-                continue
-            start = overlapped(j, max(end - limit, ends[j] - overlap))
-            c = cost[j] + ((end - start - target) / limit) ** 2 + LOST * max(0, ends[j] - full[j] - max(0, ends[j] - start)) / max(1, overlap)
-            if c < best:
-                best, choice = c, j
             tight += 1
         if many and i - tight > 40:
             c_ = cost_[tight:i] + ((end - full_[tight:i] - target) / limit) ** 2
@@ -147,10 +164,19 @@ def split(body: str, limit: int = LIMIT, overlap: int = OVERLAP) -> tuple[list[t
                     c += d * d
                     if c < best:
                         best, choice = c, j
+        for j in range(lo, tight):
+            # a cut that leaves less room; in a run the next character is as good and leaves more
+            if in_run[j] or cost[j] + per_lost * (end - limit - full[j]) >= best:
+                continue
+            start = overlapped(j, max(end - limit, ends[j] - overlap))
+            c = cost[j] + ((end - start - target) * scale) ** 2 + per_lost * max(0, ends[j] - full[j] - max(0, ends[j] - start))
+            if c < best:
+                best, choice = c, j
         cost[i] = best + (cost_of[i] if end < n else 0.0)
         if many:
             cost_[i] = cost[i]
         back[i] = choice
+        i += 1
     path = []
     i = m - 1
     while i >= 0:
