@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import threading
 from datetime import date, datetime, timedelta
 
 import numpy as np
@@ -233,6 +234,50 @@ def test_reposts_against_all_pairs(spark, data):
     assert {r.id: r.first_id for r in selection.reposts(e).collect()} == want and want
 
 
+def _reposts_by_all_pairs(rows):
+    """first_id by id of (id, podcast_id, day, duration_seconds, title)."""
+    want = {}
+    for x in rows:
+        for r in sorted(rows, key=lambda r: (r[2], r[0])):
+            if x[1] != r[1] and (r[2], r[0]) < (x[2], x[0]) and abs(x[3] - r[3]) <= 1:
+                a, b = x[4], r[4]
+                if abs(len(a) - len(b)) <= 0.1 * max(len(a), len(b)) and selection.title_ratio(a, b) >= 0.9 or (a in b or b in a) and (min(len(a), len(b)) >= 12 or x[3] == r[3] or (x[2] - r[2]).days <= 7):
+                    want.setdefault(x[0], r[0])
+    return want
+
+
+def test_reposts_of_odd_titles(spark, monkeypatch):
+    rng = random.Random(5)
+    base = ["".join(rng.choice("abcd") for _ in range(n)) for n in (8, 8, 9, 11, 12, 14, 20, 31, 44, 210) for _ in range(3)] + ["ab" * 20]
+    rows = []
+    for k in range(700):
+        t = list(rng.choice(base))
+        for _ in range(rng.choice((0, 0, 1, 2, 4))):  # edits at single places
+            t[rng.randrange(len(t))] = rng.choice(("", "a", "xy", "z"))
+        t = "".join(t) + rng.choice(("", "", "q" * rng.randrange(5)))
+        if len(t) >= 8:
+            rows.append((k, rng.randrange(4), date(2020, 1, 1) + timedelta(days=rng.randrange(40)), rng.choice((1599, 1600, 1601, 1602, 1615, 1616, 4000)), t))
+    e = spark.createDataFrame(rows, "id long, podcast_id long, day date, duration_seconds int, title string")
+    want = _reposts_by_all_pairs(rows)
+    assert len(want) > 100 and {r.id: r.first_id for r in selection.reposts(e).collect()} == want
+    monkeypatch.setattr(selection, "GROUP", 40)  # groups in parts
+    assert {r.id: r.first_id for r in selection.reposts(e).collect()} == want
+
+
+def test_reposts_of_one_duration(spark):
+    """Eight thousand different titles of like length and one duration: 32 million pairs, of which a few are alike."""
+    rng = random.Random(6)
+    rows = [(k, k % 7, date(2020, 1, 1) + timedelta(days=k % 300), 1800, "".join(rng.choice("etaoinshrdlu") for _ in range(45))) for k in range(8_000)]
+    rows += [(10_000 + k, 9, date(2021, 1, 1), 1800, rows[k][4][:20] + "z" + rows[k][4][21:]) for k in range(0, 8_000, 1_000)]
+    e = spark.createDataFrame(rows, "id long, podcast_id long, day date, duration_seconds int, title string")
+    late = threading.Timer(120, spark.sparkContext.cancelAllJobs)
+    late.start()
+    try:
+        assert {r.id: r.first_id for r in selection.reposts(e).collect()} == {10_000 + k: k for k in range(0, 8_000, 1_000)}
+    finally:
+        late.cancel()
+
+
 def test_item_scores(spark):
     g = spark.createDataFrame([("i", "g1", "x", 0, 9, 0, 9, "required"), ("i", "g2", "x", 20, 29, 20, 29, "required"), ("i", "g3", "x", 40, 49, 40, 49, "singleton"), ("i", "g4", "x", 60, 69, 60, 69, "rejected")], "item string, gold_id string, label string, tight_start long, tight_end long, env_start long, env_end long, tier string")
     p = spark.createDataFrame([("i", "p1", "x", 0, 9), ("i", "p2", "x", 41, 49), ("i", "p3", "x", 60, 69), ("i", "p4", "y", 0, 9)], "item string, pred_id string, label string, span_start long, span_end long")
