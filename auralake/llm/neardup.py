@@ -8,12 +8,13 @@ Candidates: of the shorter title at most a quarter of the words may be missing,
 of its rarest words, that many and one more, at least one is in the longer. These
 are looked up in an index of all words, together with a band of publication and a
 band of duration; words an edit apart come from a join on the vocabulary. Keys
-that stay hot are split. Words are places on a ring of 16 segments of 4 bits, an
-edit apart on the same place where one spelling is the common one. Pigeonring: if
-at most tau places of the shorter are missing in the longer, there is a start
-segment from which every chain of l segments misses at most l * tau / 16; what has
-no such start is pruned before the full Hamming check. tau follows from the number
-of words, so no alike pair is lost. The words of what is left are compared exactly.
+that stay hot are split. Words are bits of a vector of 64, an edit apart the same
+bit where one spelling is the common one. Hamming check: at most tau bits of the
+shorter may be missing in the longer. tau follows from the number of words, so no
+alike pair is lost. (Pigeonring prunes before such a check: at most tau missing
+imply a start segment whose chains miss at most their share. On 64 bits the check
+itself is one bit count; the ring's chains can prune nothing that it keeps, and made
+the join's code too large to be compiled.) What is left is compared exactly.
 Exact copies are one class throughout and only expanded at the end, and only where
 pairs are asked for.
 """
@@ -27,16 +28,14 @@ from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from auralake.operators.timestamps import parse_instants
+from auralake.operators.timestamps import CANONICAL, parse_instants
 from auralake.session import broadcast_if_small, written
 
 #: Days between publications, share of the longer duration.
 DAYS, SHARE = 3, 0.01
-SEGMENTS, WIDTH = 16, 4
-#: Longest chain that is tested (longer chains prune little more).
-CHAIN = 6
 #: Width of the bands of publication (days) and of the logarithm of durations in the index.
 TIME_BAND, LENGTH_BAND = 12, 0.1
 #: A key of the index with more records is split.
@@ -52,6 +51,7 @@ _EPISODE = re.compile(r"(?:\b(?:episode|ep|folge|no)\b\.?\s*#?|#)\s*(\d{1,6})\b"
 _LEADING = re.compile(r"^\W*(\d{1,6})\s*[:.)\-–—|]\s+")
 _CUT = re.compile(r"(?:…|\.\.\.)\s*(?:\[[^\]]*\]|\([^)]*\)|\W)*$")
 _WORD = re.compile(r"[^\W\d_]+")
+_DIGIT, _TOKEN = re.compile(r"\d"), re.compile(r"[^\W\d_]+|\d+")
 
 
 def fold(s: str) -> str:
@@ -69,18 +69,18 @@ def _show_words(show: str) -> str:
 def read_title(title: str, show: str | None) -> tuple[list[str], int | None, int | None, bool]:
     """(content words, episode number, part number, cut off?) of a title; ``show`` is the podcast's own title."""
     t = fold(title)
-    cut_off = bool(_CUT.search(t))
+    cut_off = ("..." in t or "…" in t) and bool(_CUT.search(t))
     part = None
-    if m := list(_PART.finditer(t)):
+    if ("part" in t or "pt" in t) and (m := list(_PART.finditer(t))):
         p = m[-1][1]
         part = int(p) if p.isdigit() else NUMERALS.get(p)
         t = t[: m[-1].start()] + " " + t[m[-1].end() :]
     number = None
-    if m := _EPISODE.search(t) or _LEADING.search(t):
+    if _DIGIT.search(t) and (m := _EPISODE.search(t) or _LEADING.search(t)):
         number = int(m[1])
         t = t[: m.start()] + " " + t[m.end() :]
     words = []
-    toks = re.findall(r"[^\W\d_]+|\d+", t)
+    toks = _TOKEN.findall(t)
     k = 0
     while k < len(toks):  # numbers behind a misspelled "episode" or "part"
         w, then = toks[k], toks[k + 1] if k + 1 < len(toks) else ""
@@ -168,15 +168,6 @@ def _read_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.concat([pdf[["id", "utc", "duration"]].reset_index(drop=True).astype({"utc": "Int64", "duration": "Int32"}), read], axis=1)
 
 
-def _viable(x: str, tau: str) -> str:
-    """Pigeonring: is there a start segment whose chains of 1..CHAIN segments miss at most l * tau / m places?"""
-    starts = []
-    for i in range(SEGMENTS):
-        turn = x if i == 0 else f"(shiftrightunsigned({x}, {WIDTH * i}) | shiftleft({x}, {64 - WIDTH * i}))"
-        starts.append(" and ".join(f"bit_count({turn} & {(1 << (WIDTH * n)) - 1}L) * {SEGMENTS} <= {n} * {tau}" for n in range(1, CHAIN + 1)))
-    return " or ".join(f"({x})" for x in starts)
-
-
 #: Words up to this length are found by leaving a letter out, longer ones by their ends.
 _SHORT = 60
 #: Marks the last word of a cut-off title.
@@ -237,11 +228,14 @@ def _verify_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def dated_titles(episodes: DataFrame, podcasts: DataFrame, hosts: DataFrame) -> DataFrame:
     """(id, utc, duration, words, number, part, cut), one row per episode id; unknown durations are null."""
-    e = episodes.filter("id is not null").groupBy("id").agg(F.min(F.struct("podcast_id", "title", "duration_seconds", "published_date", "feed_host")).alias("e")).select("id", "e.*")
+    e = episodes.filter("id is not null").select("id", "podcast_id", "title", "duration_seconds", "published_date", "feed_host").repartition("id").groupBy("id").agg(F.min(F.struct("podcast_id", "title", "duration_seconds", "published_date", "feed_host")).alias("e")).select("id", "e.*")
     zones = broadcast_if_small(hosts.groupBy("feed_host").agg(F.min("time_zone").alias("zone")))
     shows = broadcast_if_small(podcasts.filter("id is not null").groupBy(F.col("id").alias("podcast_id")).agg(F.max("title").alias("show")), 100_000)
     e = e.join(zones, "feed_host", "left").join(shows, "podcast_id", "left")
-    e = parse_instants(e.withColumnRenamed("published_date", "raw"), out="utc")
+    # canonical text needs no patterns
+    canonical = F.col("published_date").rlike(CANONICAL) & ~F.col("published_date").startswith("0000")
+    e = e.withColumns({"at": F.when(canonical, F.unix_seconds(F.col("published_date").try_cast("timestamp"))), "raw": F.when(~canonical, F.col("published_date"))}).drop("published_date")
+    e = parse_instants(e, out="utc").withColumn("utc", F.coalesce("utc", "at"))
     e = e.select("id", "title", "show", "utc", F.when(F.col("duration_seconds") > 0, F.col("duration_seconds").cast("int")).alias("duration"))
     return e.mapInPandas(_read_batches, f"id long, utc long, duration int, {_READ}")
 
@@ -256,29 +250,30 @@ def recordings(episodes: DataFrame, podcasts: DataFrame, hosts: DataFrame) -> tu
     Columns beyond those read are ignored.
     """
     c = F.col
-    read = written(dated_titles(episodes, podcasts, hosts), "titles")
+    read = dated_titles(episodes, podcasts, hosts)
     tail = F.when(c("cut"), F.element_at("words", -1)).otherwise(F.lit(""))
     linkable = c("utc").isNotNull() & (F.size("words") > 0)
     same = F.md5(F.concat_ws("\x02", F.array_join(F.array_sort("words"), " "), tail, *[F.coalesce(c(x).cast("string"), F.lit("")) for x in ("number", "part", "cut", "utc", "duration")]))
-    read = read.withColumn("key", F.when(linkable, same).otherwise(F.concat(F.lit("single-"), c("id").cast("string")))).withColumn("dated", linkable)
+    read = read.withColumn("key", F.when(linkable, F.unhex(same)).otherwise(F.concat(F.lit("single-"), c("id").cast("string")).cast("binary"))).withColumn("dated", linkable)
+    read = written(read.withColumn("rep", F.min("id").over(W.partitionBy("key"))).drop("key"), "titles")
     scores = vocabulary(read.filter("dated").select("words", "cut"))
 
-    # one row per class: where to look its rarest words up, where it is found, and its ring
-    one = read.groupBy("key").agg(F.min("id").alias("rep"), F.min_by(F.struct("words", "number", "part", "cut", "utc", "duration", "dated"), "id").alias("r")).select("key", "rep", "r.*")
+    # one row per class: where to look its rarest words up, where it is found, and its bits
+    one = read.filter("id = rep").drop("id")
     alone = c("cut") & (F.size("words") == 1)
     open_word = F.concat(F.element_at("words", -1), F.lit(_OPEN))
-    word = one.filter("dated").select("key", "words", "cut", F.explode(F.array_distinct(F.when(c("cut"), F.concat("words", F.array(open_word))).otherwise(c("words")))).alias("word"))
-    word = word.select("key", "word", F.size(F.filter("words", lambda w: w == c("word"))).alias("times"), (c("cut") & (F.element_at("words", -1) == c("word"))).alias("last"), c("word").endswith(_OPEN).alias("open"))
+    word = one.filter("dated").select("rep", "words", "cut", F.explode(F.array_distinct(F.when(c("cut"), F.concat("words", F.array(open_word))).otherwise(c("words")))).alias("word"))
+    word = word.select("rep", "word", F.size(F.filter("words", lambda w: w == c("word"))).alias("times"), (c("cut") & (F.element_at("words", -1) == c("word"))).alias("last"), c("word").endswith(_OPEN).alias("open"))
     word = word.join(broadcast_if_small(scores), "word")
     item = F.struct((c("open") | c("last") & (c("times") == 1)).alias("avoid"), "score", "place", "times", "asked")
-    rings = word.groupBy("key").agg(F.array_sort(F.collect_list(item)).alias("items"), F.bit_or(F.when(~c("open"), F.expr("shiftleft(1L, cast(pmod(place, 64) as int))"))).alias("bits"), F.sum(c("loose") * c("times")).alias("loose"))
+    rings = word.groupBy("rep").agg(F.array_sort(F.collect_list(item)).alias("items"), F.bit_or(F.when(~c("open"), F.expr("shiftleft(1L, cast(pmod(place, 64) as int))"))).alias("bits"), F.sum(c("loose") * c("times")).alias("loose"))
     n = F.size("words")
     upto = F.aggregate("items", F.struct(F.lit(0).cast("long").alias("sum"), F.array().cast("array<long>").alias("w")), lambda acc, x: F.struct(
         (acc["sum"] + F.greatest(x["times"], F.lit(1))).cast("long").alias("sum"), F.when(acc["sum"] < c("lookups"), F.concat(acc["w"], x["asked"])).otherwise(acc["w"]).alias("w")))["w"]
-    reps = one.join(rings, "key", "left").withColumn("lookups", F.when(alone, 2).otherwise(_lookups(n, c("cut")))).withColumn("probes", F.array_distinct(upto)).withColumn("places", F.array_distinct(F.transform("items", lambda x: x["place"])))
+    reps = one.join(rings, "rep", "left").withColumn("lookups", F.when(alone, 2).otherwise(_lookups(n, c("cut")))).withColumn("probes", F.array_distinct(upto)).withColumn("places", F.array_distinct(F.transform("items", lambda x: x["place"])))
     reps = reps.withColumn("tau", (n - F.ceil(F.lit(LEAST) * n) + c("loose") + c("cut").cast("int")).cast("int"))
-    reps = written(reps.select("key", "rep", "dated", "words", "number", "part", "cut", "utc", "duration", "bits", "tau", "probes", "places"), "classes")
-    members = read.select("id", "key").join(reps.select("key", "rep", "dated"), "key").select("id", "rep", "dated")
+    reps = written(reps.select("rep", "dated", "words", "number", "part", "cut", "utc", "duration", "bits", "tau", "probes", "places"), "classes")
+    members = read.select("id", "rep", "dated")
 
     span, day = DAYS * 86400, TIME_BAND * 86400
     body = ["rep", "utc", "duration", "number", "part", "bits", "n", "cut"]
@@ -309,9 +304,9 @@ def recordings(episodes: DataFrame, podcasts: DataFrame, hosts: DataFrame) -> tu
         & (c("x_duration").isNull() | c("duration").isNull() | (F.abs(c("x_duration") - c("duration")) <= SHARE * F.greatest("x_duration", "duration")))
         & (c("x_number").isNull() | c("number").isNull() | (c("x_number") == c("number")))
         & (c("x_part").isNull() | c("part").isNull() | (c("x_part") == c("part")))
-        & F.expr(_viable(missing, budget)) & F.expr(f"bit_count({missing}) <= {budget}")
+        & F.expr(f"bit_count({missing}) <= {budget}")
     )
-    hits = ask.join(index, on).filter(fits)
+    hits = ask.hint("shuffle_hash").join(index, on).filter(fits)
     pairs = written(hits.select(F.least("x_rep", "rep").alias("a"), F.greatest("x_rep", "rep").alias("b")).distinct(), "candidates")
     w = reps.select("rep", "words", "cut")
     few = broadcast_if_small(pairs)

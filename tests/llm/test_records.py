@@ -2,8 +2,10 @@
 
 import itertools
 import random
+import threading
 from collections import defaultdict
 
+import numpy as np
 import pytest
 from oracle import connect, same
 
@@ -60,6 +62,24 @@ def test_titles():
     assert neardup.alike(["a", "bb", "ccc", "dddd"], ["dddd", "ccc", "bb", "zz"], False, False) == 0.75 and neardup.alike([], ["a"], False, False) == 0
 
 
+def test_many_titles_of_one_day(spark):
+    """Titles of one day and duration that share their words: some 20 million pairs meet, few are alike."""
+    rng = random.Random(7)
+    words = ["".join(rng.sample("bcdfghklmnprstvz", 7)) for _ in range(40)]
+    held = [sorted(rng.sample(range(40), 8)) for _ in range(6_000)]
+    e = episodes(spark, [(k, k, " ".join(words[w] for w in h), 1800, "2020-01-02T00:00:00Z", None) for k, h in enumerate(held)])
+    m = np.zeros((len(held), 40), dtype=np.float32)
+    for k, h in enumerate(held):
+        m[k, h] = 1
+    want = {(int(a), int(b)) for a, b in zip(*np.nonzero(m @ m.T >= 6)) if a < b}
+    late = threading.Timer(100, spark.sparkContext.cancelAllJobs)
+    late.start()
+    try:
+        assert {tuple(r) for r in neardup.duplicate_pairs(e, shows(spark), hosts(spark)).collect()} == want and len(want) > 1_000
+    finally:
+        late.cancel()
+
+
 def test_against_all_pairs(spark, data):
     """On a whole small table no pair is lost by candidates, chains and Hamming check."""
     r = lambda t: spark.read.parquet(f"{data}/{t}.parquet")
